@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bitplanes, bpe_tree, packing
+from . import bitplanes, bpe_tree, packing, quality
 
-MODULES = (bitplanes, bpe_tree, packing)
+MODULES = (bitplanes, bpe_tree, packing, quality)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
