@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bitplanes, bpe_tree, packing, quality, secrets
+from . import attribution, bitplanes, bpe_tree, media, packing, quality, secrets
 
-MODULES = (bitplanes, bpe_tree, packing, quality, secrets)
+MODULES = (bitplanes, media, bpe_tree, attribution, quality, secrets, packing)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
