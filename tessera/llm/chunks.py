@@ -65,8 +65,8 @@ class Chunked:
             return [b"\x04" + text]
         if b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or text[:1] in b" \n" or text[-1:] in b" \n" or _MARKS.search(text):
             return [b"\x04" + c for c in _CHUNK.findall(text)]
-        # from here on chunks are words after one space, one line end (\x02), or nothing (\x01)
-        return (b"\x01" + _STOP.sub(b" \x01\\1", text).replace(b"\n", b" \x02")).split(b" ")
+        # from here on chunks are words after one space, words after nothing (\x01), and line ends (\x02)
+        return (b"\x01" + _STOP.sub(b" \x01\\1", text).replace(b"\n", b" \x02 \x01")).split(b" ")
 
     @staticmethod
     def plain(chunk: bytes) -> str:
@@ -75,7 +75,7 @@ class Chunked:
         if mark == b"\x04" or mark == b"\x01":
             text = chunk[1:]
         elif mark == b"\x02":
-            text = b"\n" + chunk[1:]
+            text = b"\n"
         else:
             text = b" " + chunk
         return text.decode("utf-8", "replace")
@@ -105,12 +105,26 @@ class Chunked:
         return found
 
 
-def id_bytes(tokenizer) -> Callable[[list[str]], list[bytes]]:
-    """Chunks to their ids as little-endian unsigned 32-bit integers."""
-    import numpy as np
+def id_bytes(tokenizer, space: str = "") -> Callable[[list[str]], list[bytes]]:
+    """Chunks to their ids as little-endian unsigned 32-bit integers.
+
+    A chunk of ASCII letters, after one space or none, is one piece that normalising and splitting leave
+    alone: the library's model takes it as it is, a space written as ``space``. The others go through all steps.
+    """
+    from array import array
 
     def value(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        model, out, rest = tokenizer.model, [], []
+        for k, c in enumerate(chunks):
+            own = c[1:] if space and c[:1] == " " else c
+            if len(own) < 64 and own.isascii() and own.isalpha() and (space or own.islower()):
+                out.append(array("I", [t.id for t in model.tokenize(own if own is c else space + own)]).tobytes())
+            else:
+                out.append(b"")
+                rest.append(k)
+        for k, e in zip(rest, tokenizer.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False)):
+            out[k] = array("I", e.ids).tobytes()
+        return out
 
     return value
 
@@ -132,7 +146,7 @@ def byte_ids(path: str) -> Callable[[list[bytes]], list[bytes]]:
     c = _KEPT.get(("byte", path))
     if c is None:
         t = load(path)
-        c = _KEPT["byte", path] = Chunked(id_bytes(t), [x.content for x in t.get_added_tokens_decoder().values()])
+        c = _KEPT["byte", path] = Chunked(id_bytes(t, "Ġ"), [x.content for x in t.get_added_tokens_decoder().values()])
     return lambda texts: [b"".join(v) for v in c.look_up([c.pieces(x) for x in texts], c.plain)]
 
 
