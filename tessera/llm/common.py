@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -41,8 +42,36 @@ def materialised(df: DataFrame, kind: str) -> DataFrame:
     executors cost nothing that was computed before."""
     spark = df.sparkSession
     path = shared_folder(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with clean_shuffles(spark):
+        df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._tessera_path = path
+    return made
+
+
+@contextlib.contextmanager
+def clean_shuffles(spark: SparkSession):
+    """Shuffle files of what runs inside go when it ends, not when the driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, "true")
+    except Exception:  # an engine without the setting keeps files longer
+        before = name
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        elif before != name:
+            spark.conf.set(name, before)
+
+
+def discard(made: DataFrame) -> None:
+    """Delete what ``materialised`` wrote, when nothing will read it again."""
+    spark = made.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(made._tessera_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str):
