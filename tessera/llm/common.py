@@ -37,13 +37,13 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame, kind: str) -> DataFrame:
+def materialised(df: DataFrame, kind: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage, and lost
     executors cost nothing that was computed before."""
     spark = df.sparkSession
     path = shared_folder(spark, kind)
     with clean_shuffles(spark):
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._tessera_path = path
     return made
