@@ -72,14 +72,16 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             p -> p is not null)),
           named_struct('n', 0L, 'at', 0L),
           (a, p) -> named_struct('n', a.n + p + {WINDOW} - greatest(p, a.at), 'at', p + {WINDOW}), a -> a.n), 0L)""")
+    # a row number keeps filters on the measurements above this point; below, each would be expanded many times over
+    hits = hits.withColumn("__row", F.monotonically_increasing_id())
     return hits.select(
         *keep,
-        F.size("__w").cast("long").alias("n_words"),
+        F.when(F.col("__row") >= 0, F.size("__w")).cast("long").alias("n_words"),
         F.length("__packed").cast("long").alias("word_chars"),
         (F.length("__packed") - F.length(F.translate("__packed", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
+        F.when(F.col("__row") >= 0, covered).alias("n_repeat_words"),
     )
 
 
@@ -99,6 +101,12 @@ def apply_policy(of: DataFrame, version: str = CURRENT) -> DataFrame:
     return of.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(POLICIES[version])) == 0)
 
 
+def keep(docs: DataFrame, version: str = CURRENT, text: str = "text") -> DataFrame:
+    """The rows that a policy keeps, with the input's columns, whatever their names."""
+    packed = docs.select(F.col(f"`{text}`").alias("text"), F.struct("*").alias("row"))
+    return apply_policy(ledger(packed), version).where("kept").select("row.*")
+
+
 def ablation(of: DataFrame, version: str = CURRENT, rules: dict = RULES) -> DataFrame:
     """For each rule of a policy: documents that fail it, fail nothing else, and are dropped without it.
 

@@ -347,12 +347,13 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
                         at = e
                     t = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
                 out.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *b.columns[2:]], [text, *b.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(2)], ["text", "row"])
 
-    own = [c for c in docs.columns if c != text]
-    schema = docs.select(text, *own).schema
-    found = _joined(docs.withColumn(text, F.col(text).cast("string")) if docs.schema[text].dataType.simpleString() != "string" else docs)
-    return found.select(text, "a", *own).mapInArrow(run, schema).select(*docs.columns)
+    # the other columns travel as one, whatever their names
+    others = [f"`{c}`" for c in docs.columns if c != text]
+    packed = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(*others, F.lit(0).alias("__")).alias("row"))
+    found = _joined(packed).select("text", "a", "row").mapInArrow(run, packed.schema)
+    return found.select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 QUERIES = {"op4_blockwise_suffix_dedup": op4_blockwise_suffix_dedup}
