@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch; bounds what a Python worker holds at once.
 BATCH_ROWS = 2000
+#: Bytes of a row group of what is written for later steps; a writing task buffers one.
+ROW_GROUP = 16 << 20
 
 
-def tune(spark: SparkSession) -> None:
+def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Small Arrow batches: texts are long, and a batch is held whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def materialised(df: DataFrame, kind: str, compression: str = "snappy") -> DataF
     spark = df.sparkSession
     path = shared_folder(spark, kind)
     with clean_shuffles(spark):
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", compression).option("parquet.block.size", ROW_GROUP).parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._tessera_path = path
     return made

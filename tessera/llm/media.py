@@ -29,6 +29,8 @@ from . import common
 from .chunks import utf8
 
 WIDTH = 64
+#: Rows in one Arrow batch; each row's payload is in memory a few times.
+MEDIA_ROWS = 500
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SEQUENCE = "array<struct<pos: int, kind: string, text: string, ref: string, caption: string>>"
 MEDIA_TAGS = {"img", "audio", "video", "source", "embed"}
@@ -109,7 +111,7 @@ def sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parse(x) for x in b.column(1).to_pylist()], kind)], ["key", "items"])
 
-    common.tune(pages.sparkSession)
+    common.tune(pages.sparkSession, MEDIA_ROWS)
     found = pages.select(F.col(key).alias("key"), F.col(html).alias("html"))
     return found.mapInArrow(run, f"key {found.schema['key'].dataType.simpleString()}, items {SEQUENCE}").withColumnRenamed("key", key)
 
@@ -191,7 +193,7 @@ def store(docs: DataFrame) -> DataFrame:
             columns = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()))], ["doc_id", "n_bytes", "digest", "stored", "html"])
 
-    common.tune(docs.sparkSession)
+    common.tune(docs.sparkSession, MEDIA_ROWS)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, digest string, stored binary, html string")
 
 
