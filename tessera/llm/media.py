@@ -39,6 +39,10 @@ BREAKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6"
 FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+#: A tag that the page ends in; it is dropped.
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
+
+
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -95,7 +99,7 @@ class _Reader(HTMLParser):
 def parse(html: str | None) -> list[dict]:
     """The ordered items of a page."""
     r = _Reader()
-    r.feed(html or "")
+    r.feed(_UNFINISHED.sub("", html or ""))
     r.close()
     r.end_run()
     return [{"pos": k, "kind": a, "text": b, "ref": c, "caption": d} for k, (a, b, c, d) in enumerate(r.items)]

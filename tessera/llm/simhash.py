@@ -353,8 +353,8 @@ WIDE_WORDS, WIDE_RADIUS = 4, 46
 
 
 def deduplicate(docs: DataFrame, size: int = 5, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
-    """The documents that have the smallest doc_id of their group; the input's columns. Rows with a null doc_id stay
-    if no document with a doc_id is like them."""
+    """The documents that have the smallest doc_id of their group; the input's columns. Rows with a null doc_id
+    can't be named, and stay."""
     found = near_duplicates(docs.select("doc_id", "text"), size, words, radius, minima=True)
     gone = common.materialised(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
