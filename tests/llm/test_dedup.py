@@ -138,7 +138,7 @@ def test_spark_hash_is_the_same(spark):
     assert got & (2**64 - 1) == xxhash.xxh64_intdigest("é b c", 42)
 
 
-@pytest.mark.parametrize(("words", "radius"), [(1, 0), (1, 4), (1, 20), (2, 9), (4, 46)])
+@pytest.mark.parametrize(("words", "radius"), [(1, 0), (1, 4), (1, 20), (2, 9), (4, 46), (16, 174)])
 def test_bit_sliced_links(words, radius):
     rng = np.random.default_rng(radius)
     sizes = np.array([1, 2, 70, 200, 64, 65, 5])
