@@ -4,7 +4,9 @@ A fingerprint bit is 1 if more than half of the hashes of a text's word shingles
 that differ in at most ``radius`` bits are linked; groups are the components of the links.
 
 Who is compared: fingerprints in a common block. With ``segments`` (small radius) the bits are cut
-into ``radius + 1`` segments, one of which two linked fingerprints must share, so no link is lost. With
+into segments of which two linked fingerprints must share some, so no link is lost: one of ``radius + 1``,
+two of ``radius + 2``, and so on. Each step makes keys longer, and more of them; the number of fingerprints decides,
+so that blocks of unlike ones stay small at any size. With
 ``minima`` (large radius) blocks are bands of the least shingle hashes, which texts of similarity 0.8
 share with a probability of 0.997. Equal fingerprints are one node before anything is compared, and a
 block of more than ``TILE_ROWS`` nodes is dealt out as pairs of parts, so one task never has it whole.
@@ -25,6 +27,7 @@ none; very long texts are hashed whole; empty tables give no rows; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ from .components import components
 SEED = 42
 #: Nodes of a block that one task takes; larger blocks are dealt out as pairs of parts of half as many.
 TILE_ROWS = 2048
+#: Fingerprints in a block of segments, on average, if bits are even.
+BLOCK_MEAN = 256
 #: Tiles compared at once.
 TILES = 1 << 14
 ANONYMOUS = 1 << 62
@@ -121,6 +126,18 @@ def fingerprints(docs: DataFrame, size: int, words: int = 1, minima: bool = Fals
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp binary, keys array<long>")
 
 
+def segment_scheme(n: int, radius: int, bits: int = 64) -> tuple[list[int], int]:
+    """(cuts, k): edges of segments, of which fingerprints within the radius share k at least.
+
+    The first scheme whose blocks have ``BLOCK_MEAN`` fingerprints at most if bits are even; four steps at most.
+    """
+    for more in range(5):
+        m, k = radius + 1 + more, 1 + more
+        if n >> (bits * k // m) <= BLOCK_MEAN or more == 4:
+            return [bits * j // m for j in range(m + 1)], k
+    raise AssertionError
+
+
 # --- bit-sliced comparison ------------------------------------------------------------------------
 
 
@@ -309,16 +326,15 @@ def _link_blocks(blocks: DataFrame, words: int, radius: int) -> DataFrame:
 
 def links(nodes: DataFrame, words: int, radius: int, minima: bool) -> DataFrame:
     """Edges between nodes (fp, node, keys) that have a block in common and are within the radius."""
-    bits = 64 * words
     if minima:
         keys = F.explode("keys")
+    elif words == 1:
+        cuts, k = segment_scheme(nodes.count(), radius)
+        whole = F.lpad(F.conv(F.hex("fp"), 16, 2), 64, "0")
+        parts = [whole.substr(a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
+        keys = F.explode(F.array(*(F.xxhash64(F.lit(j), F.concat(*(parts[i] for i in of))) for j, of in enumerate(combinations(range(len(parts)), k)))))
     else:
-        cuts = [bits * k // (radius + 1) for k in range(radius + 2)]
-        text = "conv(hex(fp), 16, 2)" if words == 1 else None
-        if text is None:
-            raise ValueError("segments are for fingerprints of one word")
-        whole = F.lpad(F.expr(text), 64, "0")
-        keys = F.explode(F.array(*(F.xxhash64(F.lit(k), whole.substr(a + 1, b - a)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])))))
+        raise ValueError("segments are for fingerprints of one word")
     rows = nodes.select("fp", "node", keys.alias("key"))
     half = TILE_ROWS // 2
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")

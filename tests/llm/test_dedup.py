@@ -199,10 +199,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize("rows_of_a_tile", [2048, 16])
-def test_op5(spark, tmp_path, monkeypatch, rows_of_a_tile):
-    """With tiny tiles too, where blocks are dealt out in parts."""
+def test_segment_scheme():
+    got = [H.segment_scheme(n, 4) for n in (0, 10**6, 10**8, 10**10, 10**12, 10**15)]
+    assert [(len(c) - 1, k) for c, k in got] == [(5, 1), (5, 1), (6, 2), (7, 3), (8, 4), (9, 5)]
+    assert all(c[0] == 0 and c[-1] == 64 for c, _ in got)
+
+
+@pytest.mark.parametrize(("rows_of_a_tile", "mean"), [(2048, 256), (16, 256), (2048, 0)])
+def test_op5(spark, tmp_path, monkeypatch, rows_of_a_tile, mean):
+    """With tiny tiles too, where blocks are dealt out in parts; and with the keys of a huge table."""
     monkeypatch.setattr(H, "TILE_ROWS", rows_of_a_tile)
+    monkeypatch.setattr(H, "BLOCK_MEAN", mean)
     r = random.Random(3)
     vocabulary = [f"w{k}" for k in range(200)]
     texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 300))) for _ in range(120)]
