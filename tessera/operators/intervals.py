@@ -41,6 +41,19 @@ class IntervalFrame:
         """Dealt out by ranges of (plane, start) and sorted in each: files written so can be skipped by bounds."""
         return self._with(self.df.repartitionByRange(n, *self.order).sortWithinPartitions(*self.order))
 
+    def save(self, path: str, by_plane: bool = False, mode: str = "errorifexists") -> None:
+        """Parquet of the rows; ``by_plane`` makes a folder for each plane, so that planes can be pruned."""
+        w = self.df.write.mode(mode)
+        (w.partitionBy(self.plane) if by_plane and self.plane else w).parquet(path)
+
+    @staticmethod
+    def load(spark, path: str, **columns) -> IntervalFrame:
+        return IntervalFrame(spark.read.parquet(path), **columns)
+
+    def partition_sizes(self) -> DataFrame:
+        """(partition, n) of the partitions that have rows."""
+        return self.df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))
+
     def sorted(self) -> IntervalFrame:
         return self._with(self.df.orderBy(*self.order))
 

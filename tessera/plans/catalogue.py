@@ -203,6 +203,21 @@ def iv_sorted_rank(spark, sf_dir):
     return per.withColumn("until", F.sum("n").over(Window.partitionBy("plane").orderBy("start", "end")))
 
 
+@query(f'SELECT "start", "end", plane, o_orderkey FROM {ORD_SQL} WHERE plane = 4 AND "start" < 1400 AND "end" > 1300')
+def iv_roundtrip(spark, sf_dir):
+    """Laid out by ranges, written by plane, read back and filtered: other planes' folders aren't read."""
+    path = _scratch(spark)
+    orders(spark, sf_dir).partitioned(4).save(path, by_plane=True)
+    found = IntervalFrame.load(spark, path, plane="plane").overlapping(1300, 1400, plane=4)
+    return found.df.select("start", "end", F.col("plane").cast("long").alias("plane"), "o_orderkey")
+
+
+@query(f'SELECT count(*) AS n, count(DISTINCT plane) AS planes FROM {SHIP_SQL}')
+def iv_partitioned(spark, sf_dir):
+    """Nothing is lost by a new layout."""
+    return ship(spark, sf_dir).partitioned(10).df.agg(F.count("*").alias("n"), F.countDistinct("plane").alias("planes"))
+
+
 # --- MinHash ----------------------------------------------------------------------------------------
 
 K, LENGTH, BANDS, SEED = 5, 32, 8, 1

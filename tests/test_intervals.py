@@ -49,6 +49,8 @@ def test_chained_filters_put_and_map(spark):
 def test_partitioned_and_views(spark):
     f = frame(spark, [(v, v + 2, v) for v in range(100)])
     assert f.partitioned(5).count() == 100 and f.partitioned(5).df.rdd.getNumPartitions() == 5
+    sizes = [r.n for r in f.partitioned(5).partition_sizes().collect()]
+    assert sum(sizes) == 100 and max(sizes) < 60
     f.named("iv_view")
     assert spark.sql("select count(*) from iv_view").first()[0] == 100
     f.persist().unpersist()
