@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
-from .chunks import Chunked, load, utf8
+from .chunks import Chunked, byte_chars, load, utf8
 
 WIDE = 64
 NONE = 1 << 60
@@ -33,14 +33,6 @@ _SIMPLE = re.compile("[\x00-\x7fÀ-ÖØ-öø-įı-ſ]*")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-įı-ſßÿ]+|[0-9]|[^\\x20\\x09-\\x0da-z0-9à-öø-įı-ſßÿ]+")
 
 
-def byte_chars() -> list[str]:
-    """The printable character that byte-level vocabularies use for each byte: printable Latin-1 for
-    itself, the others from U+0100 on in order."""
-    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = iter(range(0x100, 0x200))
-    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
-
-
 class Tree:
     """Minimum of a fixed number of places, with point updates."""
 

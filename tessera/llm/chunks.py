@@ -85,11 +85,19 @@ class Chunked:
         if len(self.cache) > self.limit:
             self.cache.clear()
         get = self.cache.get
-        found = [list(map(get, chunks)) for chunks in texts]
+        found, holes = [], []
         new: set[bytes] = set()
-        holes = [i for i, values in enumerate(found) if None in values]
-        for i in holes:
-            new.update([c for c, v in zip(texts[i], found[i]) if v is None])
+        for k, chunks in enumerate(texts):
+            values = list(map(get, chunks))
+            found.append(values)
+            at = -1
+            try:
+                while True:
+                    at = values.index(None, at + 1)
+                    holes.append((k, at))
+                    new.add(chunks[at])
+            except ValueError:
+                pass
         if not new:
             return found
         fresh: dict[bytes, bytes] = {}
@@ -97,19 +105,39 @@ class Chunked:
         for k in range(0, len(order), 50_000):
             part = order[k : k + 50_000]
             fresh.update(zip(part, self.value([plain(c) for c in part])))
-        for i in holes:
-            found[i] = [fresh[c] if v is None else v for c, v in zip(texts[i], found[i])]
+        for k, at in holes:
+            found[k][at] = fresh[texts[k][at]]
         if len(self.cache) + len(fresh) > 2 * self.limit:
             self.cache.clear()
         self.cache.update((c, v) for c, v in fresh.items() if len(c) <= LONG)
         return found
 
 
+#: Letters that normalising and splitting leave alone, but for their case.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]{1,64}")
+
+
+def byte_chars() -> list[str]:
+    """The printable character that byte-level vocabularies use for each byte: printable Latin-1 for
+    itself, the others from U+0100 on in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+_CHARS = {b: c for b, c in enumerate(byte_chars()) if chr(b) != c}
+
+
+def as_bytes(letters: str) -> str:
+    """Letters in the byte alphabet."""
+    return letters if letters.isascii() else letters.encode().decode("latin-1").translate(_CHARS)
+
+
 def id_bytes(tokenizer, space: str = "") -> Callable[[list[str]], list[bytes]]:
     """Chunks to their ids as little-endian unsigned 32-bit integers.
 
-    A chunk of ASCII letters, after one space or none, is one piece that normalising and splitting leave
-    alone: the library's model takes it as it is, a space written as ``space``. The others go through all steps.
+    A chunk of Latin letters, after one space or none, is one piece: the library's model takes it in the
+    byte alphabet, a space written as ``space``; without one, in lower case. The others go through all steps.
     """
     from array import array
 
@@ -117,8 +145,9 @@ def id_bytes(tokenizer, space: str = "") -> Callable[[list[str]], list[bytes]]:
         model, out, rest = tokenizer.model, [], []
         for k, c in enumerate(chunks):
             own = c[1:] if space and c[:1] == " " else c
-            if len(own) < 64 and own.isascii() and own.isalpha() and (space or own.islower()):
-                out.append(array("I", [t.id for t in model.tokenize(own if own is c else space + own)]).tobytes())
+            if _LETTERS.fullmatch(own):
+                piece = as_bytes(own if space else own.lower())
+                out.append(array("I", [t.id for t in model.tokenize(piece if own is c else space + piece)]).tobytes())
             else:
                 out.append(b"")
                 rest.append(k)
