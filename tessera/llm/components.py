@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v); returns (u, v) with u > v, distinct."""
+def _star(edges: DataFrame, large: bool, made: list[DataFrame]) -> DataFrame:
+    """edges: (u, v); returns (u, v) with u > v, distinct. ``made`` gets the tables that it reads."""
     if large:
         around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = common.materialised(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    made.append(least)
     out = around.join(least, "u")
     if large:
         out = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -40,12 +41,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     before = _sum(edges)
     for _ in range(most):
         if not before[0]:
-            break
-        edges = common.materialised(_star(_star(edges, True), False), "edges")
+            return edges
+        made = [edges]
+        edges = common.materialised(_star(_star(edges, True, made), False, made), "edges")
+        for old in made:
+            common.discard(old)
         now = _sum(edges)
         if now == before:
             return edges
         before = now
-    if before[0]:
-        raise RuntimeError("components didn't settle")
-    return edges
+    raise RuntimeError("components didn't settle")

@@ -365,6 +365,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, words: int = 1, radius: int
     of = nodes.join(roots.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left")
     of = of.groupBy("fp").agg(F.min(F.coalesce("root", "node")).alias("root"))
     of = common.materialised(of.select("fp", F.when(F.col("root") < ANONYMOUS, F.col("root")).alias("component_id")), "roots")
+    common.discard(nodes)
+    common.discard(roots)
     return found.select("doc_id", "fp").join(of, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -248,8 +248,9 @@ def _strings(contexts: DataFrame) -> DataFrame:
     return contexts.select("h", "g", "low", "high", "ctx").mapInArrow(run, "s1 long, s2 long, h long, g long, d long")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(uid, a): for each numbered document with repeated strings, their anchors (at, mask); a null mask is all."""
+def repeats(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(uid, a): for each numbered document with repeated strings, their anchors (at, mask); a null mask is all. And the
+    tables that this frame reads."""
     found = common.materialised(_anchor_rows(docs), "anchors")
     grams = found.groupBy("h").agg(F.count("*").alias("n"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("n > 1")
     grams = common.materialised(grams.select("h", F.when(F.col("g1") != F.col("g2"), F.col("n")).alias("n")), "grams")
@@ -260,7 +261,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     ones = several.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("uid", "at")).alias("o"), F.first("n").alias("n"))
     ones = common.materialised(ones.select("h", "g", "c", "o.uid", "o.at", "n"), "contexts")
     hot = ones.where(F.col("n") > GRAM_CONTEXTS).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > GRAM_CONTEXTS)
-    wanted = ones.join(common.materialised(hot.select("h", F.lit(True).alias("hot")), "hot"), "h", "left").select("uid", "at", "h", "g", F.coalesce("hot", F.lit(False)).alias("hot"))
+    wanted = ones.join(hot.select("h", F.lit(True).alias("hot")), "h", "left").select("uid", "at", "h", "g", F.coalesce("hot", F.lit(False)).alias("hot"))
     cut = common.materialised(_cut(docs, wanted), "cut")
     strings = _strings(cut.where("hot"))
     twice = common.materialised(strings.groupBy("s1", "s2").agg(F.count("*").alias("k")).where("k > 1").select("s1", "s2"), "twice")
@@ -269,9 +270,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     late = late.select("h", "g", F.expr(f"unhex(array_join({octet}, ''))").alias("mask"))
     copies = ones.where("c > 1").select("h", "g", F.lit(None).cast("binary").alias("mask"))
     masks = common.materialised(_sorted(cut.where("not hot")).unionByName(late).unionByName(copies), "masks")
+    for old in (grams, ones, cut, twice):
+        common.discard(old)
     marked = several.join(masks, ["h", "g"]).select("uid", "at", "mask")
     marked = marked.unionByName(again.where("n is null").select("uid", "at", F.lit(None).cast("binary").alias("mask")))
-    return marked.groupBy("uid").agg(F.collect_list(F.struct("at", "mask")).alias("a"))
+    return marked.groupBy("uid").agg(F.collect_list(F.struct("at", "mask")).alias("a")), [again, masks]
 
 
 def removed(n: int, found: list[dict]):
@@ -297,7 +300,11 @@ def _joined(docs: DataFrame) -> DataFrame:
     """The numbered documents with their repeats in column ``a``."""
     common.tune(docs.sparkSession)
     docs = _numbered(_from_files(docs))
-    return docs.join(common.materialised(repeats(docs), "repeats"), "uid", "left")
+    found, read = repeats(docs)
+    found = common.materialised(found, "repeats")
+    for old in read:
+        common.discard(old)
+    return docs.join(found, "uid", "left")
 
 
 def _from_files(docs: DataFrame) -> DataFrame:
