@@ -10,8 +10,9 @@ of these places, equal chunks encoded once, and the ids joined:
   ``white space* non-space+``. With white space outside ASCII in the text, runs of it may span such a
   cut, and the text is encoded whole instead. So is a text that holds a special token.
 
-Chunks new to the worker are encoded by the library in batches; the cache is emptied when it
-holds ``limit`` chunks, so memory is bounded.
+Chunks new to the worker are encoded by the library in batches. The cache has two generations of
+``limit / 2`` chunks: when the young one is full it becomes the old one, and what is asked for again moves
+back. So frequent chunks stay, and memory is bounded.
 """
 
 from __future__ import annotations
@@ -52,6 +53,7 @@ class Chunked:
         self.value, self.limit = value, limit
         self.specials = [s.encode() for s in specials]
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def words(self, text: bytes) -> list[bytes]:
         """Chunks for a tokenizer that drops white space."""
@@ -82,8 +84,8 @@ class Chunked:
 
     def look_up(self, texts: list[list[bytes]], plain: Callable[[bytes], str]) -> list[list[bytes]]:
         """The value of each chunk of each text."""
-        if len(self.cache) > self.limit:
-            self.cache.clear()
+        if 2 * len(self.cache) > self.limit:
+            self.old, self.cache = self.cache, {}
         get = self.cache.get
         found, holes = [], []
         new: set[bytes] = set()
@@ -100,15 +102,14 @@ class Chunked:
                 pass
         if not new:
             return found
-        fresh: dict[bytes, bytes] = {}
-        order = list(new)
+        old = self.old
+        fresh = {c: old[c] for c in new if c in old}
+        order = [c for c in new if c not in fresh]
         for k in range(0, len(order), 50_000):
             part = order[k : k + 50_000]
             fresh.update(zip(part, self.value([plain(c) for c in part])))
         for k, at in holes:
             found[k][at] = fresh[texts[k][at]]
-        if len(self.cache) + len(fresh) > 2 * self.limit:
-            self.cache.clear()
         self.cache.update((c, v) for c, v in fresh.items() if len(c) <= LONG)
         return found
 
@@ -161,21 +162,21 @@ def id_bytes(tokenizer, space: str = "") -> Callable[[list[str]], list[bytes]]:
 _KEPT: dict[tuple[str, str], object] = {}
 
 
-def word_ids(path: str) -> Callable[[list[bytes]], list[bytes]]:
+def word_ids(path: str, limit: int = LIMIT) -> Callable[[list[bytes]], list[bytes]]:
     """Encoder of whole texts (UTF-8) for a tokenizer that drops white space; one for each worker."""
     c = _KEPT.get(("word", path))
     if c is None:
         t = load(path)
-        c = _KEPT["word", path] = Chunked(id_bytes(t), [x.content for x in t.get_added_tokens_decoder().values()])
+        c = _KEPT["word", path] = Chunked(id_bytes(t), [x.content for x in t.get_added_tokens_decoder().values()], limit)
     return lambda texts: [b"".join(v) for v in c.look_up([c.words(x) for x in texts], lambda x: x.decode("utf-8", "replace"))]
 
 
-def byte_ids(path: str) -> Callable[[list[bytes]], list[bytes]]:
+def byte_ids(path: str, limit: int = LIMIT // 2) -> Callable[[list[bytes]], list[bytes]]:
     """Encoder of whole texts (UTF-8) for the byte-level tokenizer; one for each worker."""
     c = _KEPT.get(("byte", path))
     if c is None:
         t = load(path)
-        c = _KEPT["byte", path] = Chunked(id_bytes(t, "Ġ"), [x.content for x in t.get_added_tokens_decoder().values()])
+        c = _KEPT["byte", path] = Chunked(id_bytes(t, "Ġ"), [x.content for x in t.get_added_tokens_decoder().values()], limit)
     return lambda texts: [b"".join(v) for v in c.look_up([c.pieces(x) for x in texts], c.plain)]
 
 

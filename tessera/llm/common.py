@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch; bounds what a Python worker holds at once.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 #: Bytes of a row group of what is written for later steps; a writing task buffers one.
 ROW_GROUP = 16 << 20
 

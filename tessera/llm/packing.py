@@ -23,6 +23,8 @@ from .chunks import byte_ids, utf8
 CAPACITY = 2048
 OPEN_BINS = 1024
 LOOK_AHEAD = 2048
+#: Texts in one Arrow batch; their chunks are in memory together.
+TEXT_ROWS = 500
 #: Pieces that one task packs, about.
 TASK_PIECES = 60_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -92,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 1 else pa.int64()) for i, x in enumerate(out)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    common.tune(docs.sparkSession)
+    common.tune(docs.sparkSession, TEXT_ROWS)
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
@@ -106,6 +108,7 @@ def pack(of: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, ta
 
     n = of.count()
     of = of.coalesce(max(1, -(-n // task_pieces)))
+    common.tune(of.sparkSession, 2 * LOOK_AHEAD)
     at = of.columns.index("length")
     schema = T.StructType([*of.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
