@@ -159,24 +159,24 @@ def id_bytes(tokenizer, space: str = "") -> Callable[[list[str]], list[bytes]]:
     return value
 
 
-_KEPT: dict[tuple[str, str], object] = {}
+_KEPT: dict[tuple[str, str, int], object] = {}
 
 
 def word_ids(path: str, limit: int = LIMIT) -> Callable[[list[bytes]], list[bytes]]:
     """Encoder of whole texts (UTF-8) for a tokenizer that drops white space; one for each worker."""
-    c = _KEPT.get(("word", path))
+    c = _KEPT.get(("word", path, limit))
     if c is None:
         t = load(path)
-        c = _KEPT["word", path] = Chunked(id_bytes(t), [x.content for x in t.get_added_tokens_decoder().values()], limit)
+        c = _KEPT["word", path, limit] = Chunked(id_bytes(t), [x.content for x in t.get_added_tokens_decoder().values()], limit)
     return lambda texts: [b"".join(v) for v in c.look_up([c.words(x) for x in texts], lambda x: x.decode("utf-8", "replace"))]
 
 
-def byte_ids(path: str, limit: int = LIMIT // 2) -> Callable[[list[bytes]], list[bytes]]:
+def byte_ids(path: str, limit: int = LIMIT) -> Callable[[list[bytes]], list[bytes]]:
     """Encoder of whole texts (UTF-8) for the byte-level tokenizer; one for each worker."""
-    c = _KEPT.get(("byte", path))
+    c = _KEPT.get(("byte", path, limit))
     if c is None:
         t = load(path)
-        c = _KEPT["byte", path] = Chunked(id_bytes(t, "Ġ"), [x.content for x in t.get_added_tokens_decoder().values()], limit)
+        c = _KEPT["byte", path, limit] = Chunked(id_bytes(t, "Ġ"), [x.content for x in t.get_added_tokens_decoder().values()], limit)
     return lambda texts: [b"".join(v) for v in c.look_up([c.pieces(x) for x in texts], c.plain)]
 
 

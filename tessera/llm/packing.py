@@ -25,6 +25,8 @@ OPEN_BINS = 1024
 LOOK_AHEAD = 2048
 #: Texts in one Arrow batch; their chunks are in memory together.
 TEXT_ROWS = 500
+#: Chunks that a worker keeps encoded. More take memory, fewer take time.
+CACHED = 1_400_000
 #: Pieces that one task packs, about.
 TASK_PIECES = 60_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -76,13 +78,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Token pieces of every text, ``end_id`` appended."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, cached: int = CACHED) -> DataFrame:
+    """Token pieces of every text, ``end_id`` appended. ``cached``: chunks that a worker keeps encoded, about 250 bytes each."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode = byte_ids(tokenizer)
+        encode = byte_ids(tokenizer, cached)
         end = end_id.to_bytes(4, "little")
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
@@ -131,9 +133,9 @@ def pack(of: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, ta
     return of.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, cached: int = CACHED) -> DataFrame:
     """Pieces are written to the shared folder first, so that packing is one light pass over them."""
-    return pack(common.materialised(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity, open_bins)
+    return pack(common.materialised(pieces(docs, tokenizer, end_id, capacity, cached), "pieces"), capacity, open_bins)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
