@@ -40,7 +40,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, placed in sequences."""
-    return packing.pack_documents(docs, common.tokenizer_path("byte_bpe_50k.json"))
+    # workers have served four stages by now: fewer cached chunks leave them room
+    return packing.pack_documents(docs, common.tokenizer_path("byte_bpe_50k.json"), cached=500_000)
 
 
 STAGES = [
