@@ -259,7 +259,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
         c = _KEPT.get(tokenizer)
         if c is None:
             bpe = TreeBpe(tokenizer)
-            c = _KEPT[tokenizer] = Chunked(bpe.values, bpe.special, limit=700_000)
+            c = _KEPT[tokenizer] = Chunked(bpe.values, bpe.special, limit=1_200_000)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             n, ids, decoded = [], [], []
