@@ -113,7 +113,7 @@ def token_counts(docs: DataFrame, tokenizer: str, rule: str = "start", edges: st
         c = _KEPT.get(tokenizer)
         if c is None:
             t = load(tokenizer)
-            c = _KEPT[tokenizer] = Chunked(chunk_spans(t), [x.content for x in t.get_added_tokens_decoder().values()], limit=500_000)
+            c = _KEPT[tokenizer] = Chunked(chunk_spans(t), [x.content for x in t.get_added_tokens_decoder().values()], limit=1_000_000)
         for b in batches:
             texts = utf8(b.column(1))
             given = b.column(2).to_pylist() if edges else [None] * len(texts)
