@@ -1,19 +1,20 @@
 """Class-based bigram language model (Brown): exchange clustering, class transitions, word emissions.
 
-All training text is counted. The ``CLUSTERED`` most frequent words are moved between ``CLASSES`` classes,
+All training text is counted. Seeds: the ``CLUSTERED`` most frequent words are moved between ``CLASSES`` classes,
 one word at a time to the class that raises the likelihood of the class bigrams most, until no word moves (or
-``ROUNDS`` rounds); their bigram counts are one dense matrix of fixed size, summed over the corpus. The other
-words fall into classes by rank: each class four times as wide as the one before up to rank
-``FREQUENT``, then all rarer and unseen words as one class, then the end of a text.
+``ROUNDS`` rounds); their bigram counts are one dense matrix of fixed size, summed over the corpus, in which the
+other words stand by rank. Then every other word of a count of ``LEAST_COUNT``, however many there are, goes to the
+class that raises the likelihood most: its counts of classes before and after it are summed up by Spark, sparse, and
+the words are dealt to tasks. Class bigrams are counted anew over all words. Words of a smaller count, and unseen
+ones, are one class; the end of a text is one.
 
     log P(text) = sum of log P(class | class before) + log P(word | class)
 
 Transitions are smoothed towards the class's share of all tokens. In the class of rare words each has its
 count plus one, and all unseen words together have one; elsewhere emissions are relative counts.
 
-Only the ``FREQUENT`` most frequent words of a count of ``LEAST_COUNT``, a fixed number, are sent to workers. What rarer words
-contribute depends on their counts alone, so it is joined: (text, word) pairs with the table of counts, summed for
-each text.
+The ``FREQUENT`` most frequent words have ids in a dictionary that is sent to workers; that bounds memory, not the
+vocabulary: counts and classes of all other words are joined, (text, word) pairs with tables of words.
 
 Defined cases: null and empty texts have the end token alone; a null doc_id counts as the empty string in the
 choice of training rows; repeated rows are scored each; very long texts are scored whole; with no training
@@ -166,7 +167,7 @@ def _bigrams(encoded: DataFrame, n_symbols: int, symbol_of) -> DataFrame:
         m = np.zeros(n_symbols * n_symbols, np.int64)
         for b in batches:
             for raw in b.column(0).to_pylist():
-                ids = symbols[np.frombuffer(raw, "<i4")]
+                ids = symbols[np.maximum(np.frombuffer(raw, "<i4"), -1)]
                 pairs = np.concatenate([[n_symbols - 1], ids]) * n_symbols + np.concatenate([ids, [n_symbols - 1]])
                 if len(pairs) > 20_000:
                     m += np.bincount(pairs, minlength=len(m))
@@ -191,6 +192,141 @@ def _bigrams(encoded: DataFrame, n_symbols: int, symbol_of) -> DataFrame:
     return encoded.where("not held_out").select("ids").mapInArrow(partial, schema).repartition(n, "row").mapInArrow(total, schema)
 
 
+def place(big, classes: int, after, before) -> int:
+    """The class, of the first ``classes``, in which a word raises the likelihood of the class bigrams most.
+
+    ``after`` and ``before`` are the word's own counts as (classes, counts): of what follows it and what it follows.
+    """
+    import numpy as np
+
+    f = lambda x: np.where(x > 0.5, x * np.log(np.maximum(x, 1)), 0.0)
+    added = lambda old, more: (f(old + more) - f(old)).sum(1)
+    (a, n_a), (b, n_b) = after, before
+    gain = added(big[:classes, a], n_a) + added(big[b, :classes].T, n_b)
+    d = big[np.arange(classes), np.arange(classes)]
+    out, inn = np.zeros(len(big)), np.zeros(len(big))
+    out[a], inn[b] = n_a, n_b
+    out, inn = out[:classes], inn[:classes]
+    gain += f(d + out + inn) - f(d + out) - f(d + inn) + f(d)  # the cell of a class with itself was added to twice
+    left, right = big[:classes].sum(1), big[:, :classes].sum(0)
+    gain -= f(left + n_a.sum()) - f(left) + f(right + n_b.sum()) - f(right)
+    return int(np.argmax(gain))
+
+
+def _flat(raws: list):
+    """Ids of texts one after another: (ids, text of each, length of each text)."""
+    import numpy as np
+
+    ids = np.frombuffer(b"".join(raws), "<i4").astype(np.int64)
+    n = np.array([len(r) // 4 for r in raws], np.int64)
+    return ids, np.repeat(np.arange(len(raws)), n), n
+
+
+def _contexts(encoded: DataFrame, k: int, n_seeds: int, n_classes: int, sent) -> DataFrame:
+    """(id, word, key, n): how often a class stands before (key < n_classes) or after each word that isn't a seed.
+
+    Words of the dictionary have their id and no word, all others -1 and the word.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        class_of = sent.value  # of each word of the dictionary, of other words, of the end
+        wide = 2 * n_classes
+
+        def summed(keys: list, counts: list):
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+
+        def rows(id_, word, key, n):
+            return pa.RecordBatch.from_arrays([pa.array(id_, pa.int64()), word, pa.array(key, pa.int32()), pa.array(n, pa.int64())], ["id", "word", "key", "n"])
+
+        def known(key, n):
+            return rows(key // wide, pa.nulls(len(key), pa.binary()), key % wide, n)
+
+        keys, counts, held = [], [], 0
+        for b in batches:
+            ids, text, n = _flat(b.column(0).to_pylist())
+            if not len(ids):
+                continue
+            c = class_of[np.where(ids < 0, k, ids)]
+            first, last = np.ones(len(ids), bool), np.ones(len(ids), bool)
+            first[1:] = last[:-1] = text[1:] != text[:-1]
+            end = class_of[k + 1]
+            before, after = np.where(first, end, np.roll(c, 1)), np.where(last, end, np.roll(c, -1)) + n_classes
+            on = ids >= n_seeds
+            key = ids[on] * wide
+            u, times = np.unique(np.concatenate([key + before[on], key + after[on]]), return_counts=True)
+            keys.append(u)
+            counts.append(times)
+            held += len(u)
+            if held > 1_000_000:
+                key, times = summed(keys, counts)
+                if len(key) > HELD_WORDS:
+                    yield known(key, times)
+                    keys, counts, held = [], [], 0
+                else:
+                    keys, counts, held = [key], [times], len(key)
+            on = ids < 0
+            if on.any():
+                lists = b.column(1)
+                words = lists.flatten().field("word")
+                starts = np.concatenate([[0], np.cumsum(np.array(lists.value_lengths().fill_null(0)))])
+                key = (starts[text[on]] - 1 - ids[on]) * wide
+                u, times = np.unique(np.concatenate([key + before[on], key + after[on]]), return_counts=True)
+                yield rows(np.full(len(u), -1), words.take(pa.array(u // wide)), u % wide, times)
+        if keys:
+            yield known(*summed(keys, counts))
+
+    return encoded.where("not held_out").select("ids", "rare").mapInArrow(run, "id long, word binary, key int, n long").groupBy("id", "word", "key").agg(F.sum("n").alias("n"))
+
+
+def _placed(contexts: DataFrame, classes: int, n_classes: int, sent, least: int = LEAST_COUNT) -> DataFrame:
+    """(id, word, c, class) of each word of ``contexts`` that has the least count."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        big = sent.value
+        for b in batches:
+            out = []
+            for pairs in b.column(3).to_pylist():
+                key, n = np.array([p["key"] for p in pairs], np.int64), np.array([p["n"] for p in pairs], np.float64)
+                order = np.argsort(key)
+                key, n = key[order], n[order]
+                before = key < n_classes
+                out.append(place(big, classes, (key[~before] - n_classes, n[~before]), (key[before], n[before])))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.int32())], ["id", "word", "c", "class"])
+
+    c = F.sum(F.when(F.col("key") < n_classes, F.col("n")).otherwise(0)).alias("c")
+    whole = contexts.groupBy("id", "word").agg(c, F.collect_list(F.struct("key", "n")).alias("pairs")).where(F.col("c") >= least)
+    return whole.mapInArrow(run, "id long, word binary, c long, class int")
+
+
+def _class_bigrams(classed: DataFrame, n_classes: int):
+    """Class bigrams of the training texts, summed."""
+    import numpy as np
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        m = np.zeros(n_classes * n_classes, np.int64)
+        end = n_classes - 1
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                c = np.concatenate([[end], np.frombuffer(raw, "<i2"), [end]]).astype(np.int64)
+                np.add.at(m, c[:-1] * n_classes + c[1:], 1)
+        at = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(m[at], pa.int64())], ["cell", "n"])
+
+    m = np.zeros(n_classes * n_classes, np.int64)
+    for r in classed.where("not held_out").select("classes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        m[r["cell"]] = r["n"]
+    return m.reshape(n_classes, n_classes)
+
+
 def score(docs: DataFrame, frequent: int = FREQUENT, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """Learns from the rows of ``docs`` that aren't held out, and scores all."""
     import numpy as np
@@ -203,89 +339,124 @@ def score(docs: DataFrame, frequent: int = FREQUENT, clustered: int = CLUSTERED,
     n_words, n_types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_train, v = n_words + n_docs, n_types + (1 if n_docs else 0)
     top = frequent_words(words, frequent)
-    count = np.array([c for _, c in top] + [0], np.int64)
+    count = np.array([c for _, c in top], np.int64)
     k = len(top)
     clustered = min(clustered, k)
     bounds = classes_by_rank(k, clustered, classes)
-    # symbols: clustered words, classes by rank, rare words, the end; id -1 is a rare word
+    # symbols of the seeds' bigrams: seeds, other words by rank, words outside the dictionary, the end
     n_symbols = clustered + len(bounds) + 2
-    symbol_of = np.full(k + 1, n_symbols - 2, np.int64)
+    symbol_of = np.full(k + 2, n_symbols - 2, np.int64)
     symbol_of[:clustered] = np.arange(clustered)
     for j, (a, z) in enumerate(bounds):
         symbol_of[a:z] = clustered + j
+    symbol_of[k + 1] = n_symbols - 1
     sent_words = spark.sparkContext.broadcast({w: i for i, (w, _) in enumerate(top)})
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         get = sent_words.value.get
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))
+        kind = pa.list_(pa.struct([("word", pa.binary()), ("j", pa.int32())]))
         for b in batches:
             ids, rare, n = [], [], []
             for t in utf8(b.column(2)):
                 words = t.lower().split()
                 found = np.array([get(w, -1) for w in words], "<i4")
+                places: dict = {}  # the j-th other word of a text has the id -1 - j
+                for i in np.flatnonzero(found < 0).tolist():
+                    found[i] = -1 - places.setdefault(words[i], len(places))
                 ids.append(found.tobytes())
-                rest = Counter([words[i] for i in np.flatnonzero(found < 0)])
-                rare.append([{"word": w, "k": c} for w, c in rest.items()])
+                rare.append([{"word": w, "j": j} for w, j in places.items()])
                 n.append(len(words) + 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, kind)], ["uid", "doc_id", "held_out", "n_tokens", "ids", "rare"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
     encoded = common.materialised(
-        numbered.mapInArrow(encode, "uid long, doc_id long, held_out boolean, n_tokens long, ids binary, rare array<struct<word: binary, k: int>>"), "encoded", compression="zstd"
+        numbered.mapInArrow(encode, "uid long, doc_id long, held_out boolean, n_tokens long, ids binary, rare array<struct<word: binary, j: int>>"), "encoded", compression="zstd"
     )
     matrix = np.zeros((n_symbols, n_symbols), np.int64)
-    for r in _bigrams(encoded, n_symbols, spark.sparkContext.broadcast(symbol_of)).collect():
+    for r in _bigrams(encoded, n_symbols, spark.sparkContext.broadcast(symbol_of[: k + 1])).collect():
         matrix[r["row"]] += np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
     classes = min(classes, max(1, clustered))
     of, big = exchange(matrix, clustered, classes, [classes + j for j in range(len(bounds) + 2)], rounds)
-    n_classes = classes + len(bounds) + 2
-    class_of = of[symbol_of]  # of each frequent word, then of the rare ones
-    share = (big.sum(0) + 1.0) / (big.sum() + n_classes)
-    move = np.log10((big + SMOOTH * share) / (big.sum(1, keepdims=True) + SMOOTH))
-    size = np.bincount(class_of[:k], weights=count[:k], minlength=n_classes)
-    emit = np.zeros(k + 1)
-    emit[:k] = np.log10(count[:k] / size[class_of[:k]])
+    # all words of the least count that aren't seeds, each to the class of the greatest gain
+    contexts = _contexts(encoded, k, clustered, len(big), spark.sparkContext.broadcast(of[symbol_of]))
+    placed = common.materialised(_placed(contexts, classes, len(big), spark.sparkContext.broadcast(big.astype(np.float64))), "placed")
+    n_classes = classes + 2  # then rare words, the end
+    class_of = np.full(k, classes, np.int64)
+    class_of[:clustered] = of[:clustered]
+    for r in placed.where("id >= 0").select("id", "class").collect():
+        class_of[r["id"]] = r["class"]
+    size = np.bincount(class_of, weights=count, minlength=n_classes)
+    more, n_more = 0, 0
+    for r in placed.where("id < 0").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        size[r["class"]] += r["c"]
+        more, n_more = more + r["c"], n_more + r["n"]
+    emit = np.log10(count / size[class_of]) if k else np.zeros(0)
     total = float(n_train + v + 1)
     base = np.log10((count + 1) / total)
-    base[k] = 0.0
     base_end = float(np.log10((n_docs + 1) / total))
-    n_rare, v_rare = int(n_words - count.sum()), int(n_types - k)
-    sent = spark.sparkContext.broadcast((class_of, move, emit, base, base_end, bool(n_docs)))
+    n_rare, v_rare = int(n_words - count.sum() - more), int(n_types - k - n_more)
+    sent = spark.sparkContext.broadcast((class_of, emit, base, size))
+    known_end = bool(n_docs)
+
+    def classify(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        class_of, emit, base, size = sent.value
+        for b in batches:
+            ids, text, n = _flat(b.column(4).to_pylist())
+            lists = b.column(5)
+            flat = lists.flatten()
+            starts = np.concatenate([[0], np.cumsum(np.array(lists.value_lengths().fill_null(0)))])
+            owner = np.repeat(np.arange(len(n)), np.diff(starts))
+            at = starts[owner] + flat.field("j").to_numpy(zero_copy_only=False)
+            c, own = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            c[at] = flat.field("c").fill_null(0).to_numpy(zero_copy_only=False)
+            own[at] = flat.field("class").fill_null(len(size) - 2).to_numpy(zero_copy_only=False)
+            classes, seen, b_sum, e_sum = (np.zeros(len(ids), t) for t in (np.int64, bool, float, float))
+            on = ids >= 0
+            i = ids[on]
+            classes[on], seen[on], b_sum[on], e_sum[on] = class_of[i], True, base[i], emit[i]
+            i = starts[text[~on]] - 1 - ids[~on]
+            ci, ki = c[i], own[i]
+            rare = ki == len(size) - 2
+            classes[~on], seen[~on], b_sum[~on] = ki, ci > 0, np.log10((ci + 1) / total)
+            e_sum[~on] = np.log10(np.where(rare, ci + 1, ci) / np.where(rare, n_rare + v_rare + 1, size[ki]))
+            per = lambda x: np.bincount(text, weights=x, minlength=len(n))
+            ends = np.cumsum(n)
+            raw = [classes[a:z].astype("<i2").tobytes() for a, z in zip((ends - n).tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[1:4], pa.array(per(seen).astype(np.int64) + known_end), pa.array(per(b_sum) + base_end), pa.array(per(e_sum)), pa.array(raw, pa.binary())], ["doc_id", "held_out", "n_tokens", "known", "base", "emit", "classes"]
+            )
+
+    others = encoded.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.j").join(words, "word", "left").join(placed.where("id < 0").select("word", "class"), "word", "left")
+    others = others.groupBy("uid").agg(F.collect_list(F.struct("j", "c", "class")).alias("others"))
+    kind = "array<struct<j: int, c: bigint, class: int>>"
+    both = encoded.select("uid", "doc_id", "held_out", "n_tokens", "ids").join(others, "uid", "left")
+    both = both.select("uid", "doc_id", "held_out", "n_tokens", "ids", F.coalesce("others", F.expr(f"cast(array() as {kind})")).alias("others"))
+    classed = common.materialised(both.mapInArrow(classify, "doc_id long, held_out boolean, n_tokens long, known long, base double, emit double, classes binary"), "classed", compression="zstd")
+    for old in (encoded, placed, words):
+        common.discard(old)
+    big = _class_bigrams(classed, n_classes)
+    share = (big.sum(0) + 1.0) / (big.sum() + n_classes)
+    move = np.log10((big + SMOOTH * share) / (big.sum(1, keepdims=True) + SMOOTH))
+    sent_move = spark.sparkContext.broadcast(move)
 
     def rate(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        class_of, move, emit, base, base_end, known_end = sent.value
+        move = sent_move.value
         end = len(move) - 1
         for b in batches:
             out = []
-            for raw in b.column(4).to_pylist():
-                ids = np.frombuffer(raw, "<i4")
-                c = np.concatenate([[end], class_of[ids], [end]])
-                out.append((int((ids >= 0).sum()) + known_end, float(base[ids].sum()) + base_end, float(move[c[:-1], c[1:]].sum() + emit[ids].sum())))
-            columns = list(zip(*out)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())], ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "model"])
-
-    rated = encoded.select("uid", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(rate, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double")
-    pairs = encoded.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.k").join(words, "word", "left")
-    c, times = F.coalesce("c", F.lit(0)), F.col("k")
-    sums = pairs.groupBy("uid").agg(
-        F.sum(F.when(c > 0, times).otherwise(0)).alias("r_known"),
-        F.sum(times * F.log10((c + 1) / F.lit(total))).alias("r_base"),
-        F.sum(times * F.log10((c + 1) / F.lit(float(n_rare + v_rare + 1)))).alias("r_model"),
-    )
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return rated.join(sums, "uid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        plus("known", "r_known").cast("long").alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        plus("base", "r_base").alias("base_score"),
-        plus("model", "r_model").alias("score"),
-    )
+            for raw, e in zip(b.column(6).to_pylist(), b.column(5).to_pylist()):
+                c = np.concatenate([[end], np.frombuffer(raw, "<i2"), [end]]).astype(np.int64)
+                out.append(float(move[c[:-1], c[1:]].sum()) + e)
+            n = pa.array([n_train] * len(out), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], n, b.column(4), pa.array(out, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return classed.mapInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_class_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

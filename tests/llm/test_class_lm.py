@@ -125,3 +125,27 @@ def test_empty_and_untrained(spark, tmp_path):
     assert L.op3_class_ngram_lm(spark, table(spark, tmp_path / "a", [])).count() == 0
     (r,) = L.op3_class_ngram_lm(spark, table(spark, tmp_path / "b", [(held(1), "a b")])).collect()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and math.isfinite(r.score)
+
+
+def test_words_beyond_the_seeds_are_clustered(spark, tmp_path):
+    """Nouns and verbs take turns; most of them are no seeds, most not even in the dictionary."""
+    df = spark.read.parquet(table(spark, tmp_path, list(enumerate(corpus()))) + "/documents.parquet")
+    for sizes in ({"frequent": 61, "clustered": 12, "classes": 2}, {"frequent": 20, "clustered": 12, "classes": 2}):
+        got = [r for r in L.score(df, **sizes).collect() if r.held_out]
+        assert sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) > 0.2
+
+
+def test_place_is_the_best_class():
+    rng = np.random.default_rng(4)
+    big = rng.poisson(9, (6, 6))
+    out, inn = rng.poisson(3, 6), rng.poisson(3, 6)
+    f = lambda x: (x[x > 0] * np.log(x[x > 0])).sum()
+
+    def value(t):
+        m = big.copy()
+        m[t] += out
+        m[:, t] += inn
+        return f(m.ravel()) - f(big.sum(0) + inn.sum() * (np.arange(6) == t)) - f(big.sum(1) + out.sum() * (np.arange(6) == t))
+
+    got = L.place(big.astype(float), 4, (np.arange(6), out.astype(float)), (np.arange(6), inn.astype(float)))
+    assert got == max(range(4), key=value)
