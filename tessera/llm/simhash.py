@@ -7,8 +7,9 @@ Who is compared: fingerprints in a common block. With ``segments`` (small radius
 into segments of which two linked fingerprints must share some, so no link is lost: one of ``radius + 1``,
 two of ``radius + 2``, and so on. Each step makes keys longer, and more of them; the number of fingerprints decides,
 so that blocks of unlike ones stay small at any size. With
-``minima`` (large radius) blocks are bands of the least shingle hashes, which texts of similarity 0.8
-share with a probability of 0.997. Equal fingerprints are one node before anything is compared, and a
+``minima`` (large radius) blocks are bands of the least shingle hashes; with the eight bands of the default, texts of
+similarity 0.8 share one with a probability of 0.997. ``deduplicate`` takes more bands and a wider radius for candidates,
+and links those whose sets of shingles have a similarity of 0.8 at least. Equal fingerprints are one node before anything is compared, and a
 block of more than ``TILE_ROWS`` nodes is dealt out as pairs of parts, so one task never has it whole.
 
 How: 64 fingerprints of a block stand side by side as bit planes, a word for each bit position. Against a
@@ -230,8 +231,45 @@ def _labels(n: int, a, b):
     return label
 
 
-def link_groups(rows, nodes, sizes, radius: int):
-    """Star edges (u, v) among the nodes of each of the groups that stand one after another."""
+def alike(a, b) -> bool:
+    """Whether two sets of hashes (sorted, distinct) have a Jaccard similarity of ``LEAST_ALIKE`` at least."""
+    import numpy as np
+
+    n, m = len(a), len(b)
+    up, down = LEAST_ALIKE
+    if down * min(n, m) < up * max(n, m):
+        return False
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return down * common >= up * (n + m - common)
+
+
+def _verified(label, a, b, sets):
+    """Of candidate pairs (a, b), those of like sets that join what isn't joined yet."""
+    import numpy as np
+
+    at = {}
+
+    def find(x):
+        while at.get(x, x) != x:
+            at[x] = at.get(at[x], at[x])
+            x = at[x]
+        return x
+
+    keep = []
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(int(label[i])), find(int(label[j]))
+        if x != y and alike(sets[i], sets[j]):
+            at[max(x, y)] = min(x, y)
+            keep.append(k)
+    return a[keep], b[keep]
+
+
+def link_groups(rows, nodes, sizes, radius: int, sets: list | None = None):
+    """Star edges (u, v) among the nodes of each of the groups that stand one after another.
+
+    With ``sets``, pairs within the radius are candidates, and those of like sets are linked.
+    """
     import numpy as np
 
     if not len(sizes):
@@ -271,6 +309,8 @@ def link_groups(rows, nodes, sizes, radius: int):
             linked_any = True
             t, j = np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             a, b = query[tile[t]], row_of[word[tile[t]] * 64 + j]
+            if sets is not None:
+                a, b = _verified(label, a, b, sets)
             label = label[_labels(len(rows), label[a], label[b])]
             while (label[label] != label).any():
                 label = label[label]
@@ -283,8 +323,10 @@ def link_groups(rows, nodes, sizes, radius: int):
     return np.stack([nodes[linked], found[linked]])
 
 
-def _link_blocks(blocks: DataFrame, words: int, radius: int) -> DataFrame:
-    """blocks: (block, fp, node), dealt and sorted by block; star edges of each."""
+def _link_blocks(blocks: DataFrame, words: int, radius: int, size: int | None = None) -> DataFrame:
+    """blocks: (block, fp, node), dealt and sorted by block; star edges of each. With ``size``, blocks have a
+    ``text`` too, and what is within the radius is linked if the sets of shingles are alike."""
+    most = 20_000 if size is None else 2 * TILE_ROWS
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -295,7 +337,7 @@ def _link_blocks(blocks: DataFrame, words: int, radius: int) -> DataFrame:
             rows = np.concatenate([h[1] for h in held])
             nodes = np.concatenate([h[2] for h in held])
             sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]))
-            u, v = link_groups(rows, nodes, sizes, radius)
+            u, v = link_groups(rows, nodes, sizes, radius, None if size is None else [x for h in held for x in h[3]])
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         held: list[tuple] = []
@@ -306,22 +348,23 @@ def _link_blocks(blocks: DataFrame, words: int, radius: int) -> DataFrame:
             block = b.column(0).to_numpy()
             rows = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u8").reshape(-1, words).astype(np.uint64)
             nodes = b.column(2).to_numpy()
+            sets = [] if size is None else [np.unique(shingle_hashes(t, size)) for t in utf8(b.column(3))]
             # all but the last block of what has come is whole
-            if n and block[0] != held[-1][0][-1] and n >= 20_000:
+            if n and block[0] != held[-1][0][-1] and n >= most:
                 yield linked(held)
                 held, n = [], 0
             starts = np.flatnonzero(np.diff(block)) + 1
-            if n + len(block) >= 20_000 and len(starts):
+            if n + len(block) >= most and len(starts):
                 cut = int(starts[-1])
-                yield linked([*held, (block[:cut], rows[:cut], nodes[:cut])])
+                yield linked([*held, (block[:cut], rows[:cut], nodes[:cut], sets[:cut])])
                 held, n = [], 0
-                block, rows, nodes = block[cut:], rows[cut:], nodes[cut:]
-            held.append((block, rows, nodes))
+                block, rows, nodes, sets = block[cut:], rows[cut:], nodes[cut:], sets[cut:]
+            held.append((block, rows, nodes, sets))
             n += len(block)
         if held:
             yield linked(held)
 
-    return blocks.select("block", "fp", "node").mapInArrow(run, "u long, v long")
+    return blocks.select("block", "fp", "node", *(() if size is None else ("text",))).mapInArrow(run, "u long, v long")
 
 
 def links(nodes: DataFrame, words: int, radius: int, minima: bool) -> DataFrame:
@@ -335,7 +378,12 @@ def links(nodes: DataFrame, words: int, radius: int, minima: bool) -> DataFrame:
         keys = F.explode(F.array(*(F.xxhash64(F.lit(j), F.concat(*(parts[i] for i in of))) for j, of in enumerate(combinations(range(len(parts)), k)))))
     else:
         raise ValueError("segments are for fingerprints of one word")
-    rows = nodes.select("fp", "node", keys.alias("key"))
+    return _link_keyed(nodes.select("fp", "node", keys.alias("key")), words, radius)
+
+
+def _link_keyed(rows: DataFrame, words: int, radius: int, size: int | None = None) -> DataFrame:
+    """Edges between rows (fp, node, key, and text with ``size``) of one key; large keys are dealt out."""
+    text = () if size is None else ("text",)
     half = TILE_ROWS // 2
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = common.materialised(sizes.select("key", F.when(F.col("n") > TILE_ROWS, F.ceil(F.col("n") / half)).otherwise(1).cast("int").alias("parts")), "blocks")
@@ -344,9 +392,9 @@ def links(nodes: DataFrame, words: int, radius: int, minima: bool) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = dealt.withColumn("other", other)
     block = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
-    dealt = dealt.select(block.alias("block"), "fp", "node")
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _link_blocks(dealt.repartition(n, "block").sortWithinPartitions("block", "node"), words, radius)
+    dealt = dealt.select(block.alias("block"), "fp", "node", *text)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _link_blocks(dealt.repartition(n, "block").sortWithinPartitions("block", "node"), words, radius, size)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, words: int = 1, radius: int = 4, minima: bool = False) -> DataFrame:
@@ -370,17 +418,61 @@ def near_duplicates(docs: DataFrame, size: int = 5, words: int = 1, radius: int
     return found.select("doc_id", "fp").join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For the pipeline: words of a fingerprint, and the most bits that differ. Texts that have a share of 0.8 of
-#: their five-word shingles in common differ in 0.15 of the bits, 155 of 1024, give or take 12.
-WIDE_WORDS, WIDE_RADIUS = 16, 174
+#: For the pipeline: words of a fingerprint, and the most bits in which candidates differ. Texts that have a share of
+#: 0.8 of their five-word shingles in common differ in 0.15 of the bits, and in up to 0.19 of them if they are short.
+WIDE_WORDS, WIDE_RADIUS = 16, 256
+#: Bands of least hashes that make candidates; at similarity 0.8 all differ with a probability of 0.488 ** 20.
+WIDE_BANDS = 20
+#: The least similarity of what is linked, as a fraction.
+LEAST_ALIKE = (4, 5)
+
+
+def _sets(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """(row, digest, fp, keys) of the set of shingles of each text of (row, text); the digest is null without any."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            digests, fps, keys = [], [], []
+            for t in utf8(b.column(1)):
+                h = np.unique(shingle_hashes(t, size))
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+                fps.append(majority(h, words))
+                keys.append(minima_keys(h, WIDE_BANDS) if len(h) else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["row", "digest", "fp", "keys"])
+
+    common.tune(docs.sparkSession)
+    return docs.select("row", "text").mapInArrow(run, "row long, digest binary, fp binary, keys array<long>")
 
 
 def deduplicate(docs: DataFrame, size: int = 5, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
-    """The documents that have the smallest doc_id of their group; the input's columns. Rows with a null doc_id
-    can't be named, and stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), size, words, radius, minima=True)
-    gone = common.materialised(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates; the input's columns.
+
+    Links join texts whose sets of shingles have a similarity of 0.8 at least: texts of a common band within the
+    radius are candidates, and in each component of candidates the sets themselves (as 64-bit hashes) decide. Of a
+    group the smallest doc_id stays, null last, and of equal ones the first row. Texts without words are one group,
+    but those of a null doc_id, which have no text to lose and no name, all stay.
+    """
+    whole = common.materialised(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "rows")
+    found = common.materialised(_sets(whole.select("row", "doc.text"), size, words), "sets")
+    nodes = common.materialised(found.groupBy("digest").agg(F.min("row").alias("node"), F.min_by("fp", "row").alias("fp"), F.min_by("keys", "row").alias("keys")), "nodes")
+    near = components(links(nodes, words, radius, True))
+    # candidates with the least node of their component, itself included
+    near = near.union(near.select("v", "v").distinct()).toDF("node", "key")
+    texts = nodes.select("node", "fp").join(near, "node").join(whole.select(F.col("row").alias("node"), "doc.text"), "node")
+    roots = components(_link_keyed(texts.select("fp", "node", "key", "text"), words, radius, size))
+    of = nodes.select("digest", "node").join(roots.toDF("node", "root"), "node", "left").select("digest", F.coalesce("root", "node").alias("group"))
+    grouped = found.select("row", F.coalesce("digest", F.lit(b"")).alias("d")).join(of.select(F.coalesce("digest", F.lit(b"")).alias("d"), "group"), "d")
+    ranked = grouped.join(whole.select("row", "doc.doc_id"), "row").select("group", "d", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row").alias("r"))
+    stay = ranked.groupBy("group").agg(F.min("r").alias("r")).select("r.row")
+    bare = ranked.where((F.octet_length("d") == 0) & F.col("r.unnamed")).select("r.row")
+    stay = common.materialised(stay.union(bare).distinct(), "stay")
+    for old in (found, nodes):
+        common.discard(old)
+    return whole.join(stay, "row", "left_semi").select("doc.*")
 
 
 def op5_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

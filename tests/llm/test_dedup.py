@@ -276,3 +276,30 @@ def test_simhash_empty(spark, tmp_path):
     d = table(spark, tmp_path, [])
     assert H.op5_bit_sliced_simhash(spark, d).count() == 0
     assert H.deduplicate(spark.read.parquet(d + "/documents.parquet")).count() == 0
+
+
+def test_deduplicate_decides_by_exact_similarity(spark):
+    """Short texts too: all pairs of 0.8 or more are linked, and none below."""
+    fresh = iter(range(10**6))
+    word = lambda: "w%d" % next(fresh)
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    alike = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+    rows, gone = [], set()
+    for n, more in [(10, 1), (8, 1), (24, 5), (24, 6), (24, 8), (24, 9), (104, 25), (104, 33), (304, 75), (304, 90)]:
+        for _ in range(30):
+            a = [word() for _ in range(n)]
+            b = a + [word() for _ in range(more)]
+            i = 2 * len(rows)
+            rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+            if alike(a, b) >= 0.8:
+                gone.add(i + 1)
+    got = {x.doc_id for x in H.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(gone) > 100 and {i for i, _ in rows} - got == gone
+
+
+def test_deduplicate_keeps_one_row_of_null_or_repeated_ids(spark):
+    text = lambda k: " ".join("t%dw%d" % (k, i) for i in range(80))
+    rows = [(1, text(1)), (None, text(1)), (2, text(2)), (2, text(2)), (None, text(3)), (None, text(3)), (4, text(4)), (4, text(5)), (None, text(6))]
+    got = [(r.doc_id, r.text) for r in H.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(1, text(1)), (2, text(2)), (None, text(3)), (4, text(4)), (4, text(5)), (None, text(6))]
+    assert sorted(got, key=str) == sorted(want, key=str)
