@@ -45,3 +45,9 @@ def test_kmeans_and_fit(spark):
     assert first == catalogue.QUERIES["mx_kmeans_init"](spark, SF).collect() and len(first) == 3
     assert abs(sum(r.weight for r in first) - 1) < 1e-6 and [r.rate for r in first] == sorted(r.rate for r in first)
     assert catalogue.QUERIES["mx_fit"](spark, SF).count() == 2
+
+
+def test_global_join_counts_every_interval(spark, con):
+    got = sum(r.hits for r in catalogue.QUERIES["iv_overlap_join_global_rows"](spark, SF).collect())
+    (want,) = con.execute(f'SELECT count(*) FROM {catalogue.ORD_SQL} o JOIN {catalogue.SHIP_SQL} s ON s."start" < o."end" AND o."start" < s."end"').fetchone()
+    assert got == want > sum(r.hits for r in catalogue.QUERIES["iv_overlap_join_global"](spark, SF).collect())
