@@ -6,7 +6,6 @@ both sides, since the order of sums differs.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -497,17 +496,51 @@ def io_read_range(spark, sf_dir):
 
 @query()
 def io_ranged_source(spark, sf_dir):
-    """The bytes of a table's file by ranges; tested against the file. Needs a local or HTTP path."""
+    """The bytes of a table's file, or of each of its part files, by ranges; tested against the files.
+
+    Local, HTTP, and whatever Hadoop's file systems read; what can't be read is an error.
+    """
     from ..sources import ranged
 
+    path = f"{sf_dir}/customer.parquet"
+    if path.startswith(("http://", "https://")):
+        files = [path]
+    else:
+        files = _files(spark, path)
+        if not all(f.startswith("file:") and "," not in f for f in files):  # commas part the paths of byte_ranges
+            return _hadoop_ranges(spark, files, 65536)
+        files = [f.removeprefix("file://").removeprefix("file:") for f in files]
     ranged.register(spark)
-    path = f"{sf_dir}/customer.parquet".removeprefix("file://")
-    if not os.path.isfile(path):
-        return spark.createDataFrame([], "offset long, length long, crc long")
-    rows = spark.read.format("byte_ranges").option("path", path).option("range_bytes", 65536).load()
+    rows = spark.read.format("byte_ranges").option("path", ",".join(files)).option("range_bytes", 65536).load()
     return rows.select("offset", "length", F.crc32("data").alias("crc"))
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """A file itself, or the data files of a folder and its folders, without those Spark hides; by name."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.getFileStatus(at)  # raises if there is none
+    out, folders = [], []
+    (folders if top.isDirectory() else out).append(top.getPath())
+    while folders:
+        for x in fs.listStatus(folders.pop()):
+            name = x.getPath().getName()
+            if not name.startswith((".", "_")) or "=" in name:
+                (folders if x.isDirectory() else out).append(x.getPath())
+    if not out:
+        raise FileNotFoundError(f"no files in {path}")
+    return sorted(f.toString() for f in out)
+
+
+def _hadoop_ranges(spark: SparkSession, files: list[str], size: int) -> DataFrame:
+    """(offset, length, crc) of files that Spark reads, each whole in one task (2 GB at most, or Spark fails)."""
+    content = spark.read.format("binaryFile").load(files).select("content", "length")
+    offsets = content.where("length > 0").select("content", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("offset"))
+    part = F.substring("content", F.col("offset").cast("int") + 1, F.lit(size))
+    return offsets.select("offset", F.octet_length(part).cast("long").alias("length"), F.crc32(part).alias("crc"))
+
+
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def io_parquet_roundtrip(spark, sf_dir):
     """Written with the options of this library, and read back."""

@@ -114,3 +114,25 @@ def test_parquet_options_and_cli(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
     assert cli.main(["zscore", str(tmp_path / "in"), str(tmp_path / "z"), "x"], spark) == 0
     assert cli.main(["-h"], spark) == 0 and cli.main(["overlap"], spark) == 2 and cli.main(["overlap", "/none", str(tmp_path / "o"), "1", "2"], spark) == 1
+
+
+def test_ranged_query_reads_folders_and_other_file_systems(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    query = catalogue.QUERIES["io_ranged_source"]
+    table = tmp_path / "customer.parquet"
+    (table / "k=1").mkdir(parents=True)
+    files = {"part-0": DATA * 70, "part-1": DATA, "k=1/part-2": b"x", "part-3": b""}
+    for name, raw in files.items():
+        (table / name).write_bytes(raw)
+    (table / "_SUCCESS").write_bytes(b"hidden")
+    want = sorted((o, len(raw[o : o + 65536]), zlib.crc32(raw[o : o + 65536])) for raw in files.values() for o in range(0, len(raw), 65536))
+    assert sorted(tuple(r) for r in query(spark, str(tmp_path)).collect()) == want
+    assert sorted(tuple(r) for r in query(spark, f"file://{tmp_path}").collect()) == want
+    got = catalogue._hadoop_ranges(spark, catalogue._files(spark, str(table)), 65536)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    server, uri = serve("good")
+    assert [tuple(r) for r in query(spark, uri.removesuffix("/x")).collect()] == [(0, len(DATA), zlib.crc32(DATA))]
+    server.shutdown()
+    with pytest.raises(Exception):
+        query(spark, str(tmp_path / "none")).collect()
