@@ -6,7 +6,7 @@ the base64 alphabet): a window of ``WINDOW`` characters slides over the candidat
 characters are kept up to date by one character that enters and one that leaves, and with them the sum
 of c log2 c, from which the Shannon entropy follows. A candidate whose highest window reaches its class's
 threshold is a span, unless an allow-list suppresses it (words, identifiers that are public by form) or
-a base span already has its characters. Base spans are never suppressed.
+base spans leave no ``WINDOW`` of its characters in a row. Base spans are never suppressed.
 
 All expressions are built-in; rows are scanned where they are, without a shuffle. Each pattern first
 tells the few rows that have it at all; only those pay for positions.
@@ -91,7 +91,10 @@ def entropy(candidate: str) -> str:
 def _entropy_spans(text: str, base: str) -> str:
     """SQL for the spans of candidates that are neither allowed nor in base spans and pass a threshold."""
     allowed = " or ".join(f"rlike(r.x, {_quoted(a)})" for a in ALLOW)
-    over = f"not exists({base}, z -> z.s < a.at + r.gap + r.n and a.at + r.gap < z.e)"
+    # the longest part of a candidate outside base spans, which are sorted by their start
+    start, end = "(a.at + r.gap)", "(a.at + r.gap + r.n)"
+    over = f"""aggregate({base}, named_struct('at', {start}, 'w', 0),
+        (g, z) -> named_struct('at', greatest(g.at, least(z.e, {end})), 'w', greatest(g.w, least(z.s, {end}) - g.at)), g -> greatest(g.w, {end} - g.at)) >= {WINDOW}"""
     bits = f"{entropy('r.x')} >= if(rlike(r.x, '^[0-9A-Fa-f]+$'), {THRESHOLDS['hex']}D, {THRESHOLDS['base64']}D)"
     return _positions(text, CANDIDATE, 3, keep=f"if({allowed}, false, if({over}, {bits}, false))")
 

@@ -144,3 +144,10 @@ def test_redact(spark):
 @pytest.mark.parametrize("f", [Q.op8_rule_ledger, S.op9_secret_scan])
 def test_empty(spark, tmp_path, f):
     assert f(spark, table(spark, tmp_path, [])).count() == 0
+
+
+def test_a_secret_joined_to_a_base_span_is_found(spark):
+    secret = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ8vT2kL5nH4"
+    df = spark.createDataFrame([(f"see /0123456789abcdef/{secret} here",), ("token=Zx81kQ9wLm27Vb5Tn3Rj6Yh4",)], "text string")
+    masked, covered = (r.text for r in S.redact(df).collect())
+    assert secret not in masked and masked.startswith("see ") and masked.endswith(" here") and covered == "[SECRET]"
