@@ -151,3 +151,49 @@ def test_a_secret_joined_to_a_base_span_is_found(spark):
     df = spark.createDataFrame([(f"see /0123456789abcdef/{secret} here",), ("token=Zx81kQ9wLm27Vb5Tn3Rj6Yh4",)], "text string")
     masked, covered = (r.text for r in S.redact(df).collect())
     assert secret not in masked and masked.startswith("see ") and masked.endswith(" here") and covered == "[SECRET]"
+
+
+def long_texts():
+    r = random.Random(5)
+    blob = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=2_000_000))
+    poor = "ab1" * 30_000  # never enough different characters
+    rich = "abcdefghijkl" * 10_000 + "1"  # 12 different ones, a window short of the threshold
+    edge = "a1" * 99 + "b2c3d4e5f6g7h8j9k0m" + "a1" * 200  # the window that passes lies over the ends of stretches
+    return ["a-" * 1_000_000 + "1", "a-" * 1_000_000 + "12345", blob, poor, rich, edge, "deadbeefdeadbeef " * 100_000, "x1-" * 400_000 + "Zx81kQ9wLm27Vb5Tn3Rj6Yh4", "👍a" * 300_000 + " token=abcdefghijkl"]
+
+
+def test_long_candidates(spark, tmp_path):
+    texts = long_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x.s, x.k, x.e) for x in r.spans] for r in S.scan(df).collect()}
+    masked = {r.doc_id: r.text for r in S.redact(df).collect()}
+    joined = re.compile(S.JOINED), re.compile(S.NOT_JOINED)
+    for i, t in enumerate(texts):
+        base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{16,}", t)]
+        want = list(base)
+        for m in re.finditer(S.CANDIDATE, t) if not base else ():
+            s = m[0]
+            if joined[0].search(s) and not joined[1].search(s) or re.search(S.ALLOW[0], s):
+                continue
+            f = [c * math.log2(c) if c else 0 for c in range(21)]
+            least = S.WINDOW * (math.log2(20) - S.THRESHOLDS["hex" if re.fullmatch("[0-9A-Fa-f]+", s) else "base64"])
+            if any(sum(f[c] for c in collections.Counter(s[k : k + 20]).values()) <= least for k in range(len(s) - 19)):
+                want.append((m.start(), 3, m.end()))
+        assert got[i] == sorted(want), i
+        assert ("[SECRET]" in masked[i]) == bool(want) and len(masked[i]) == len(t) - sum(e - s - 8 for s, _, e in want), i
+
+
+def test_joined_words_are_those_of_the_allow_list():
+    r = random.Random(6)
+    for _ in range(200_000):
+        s = "".join(r.choice("aB-_/1+=") for _ in range(r.randint(1, 9)))
+        assert bool(re.search(S.ALLOW[2], s)) == bool(re.search(S.JOINED, s) and not re.search(S.NOT_JOINED, s)), s
+
+
+def test_other_columns_keep_their_values_whatever_their_names(spark):
+    names = ["t", "row", "hint", "assign", "access", "hex", "base", "every", "runs", "__t", "__base", "spans"]
+    df = spark.createDataFrame([(None, "token=Zx81kQ9wLm27Vb5Tn3Rj6Yh4 end", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    (r,) = S.redact(df).collect()
+    assert r.text == "[SECRET] end" and list(r)[2:] == names
+    (r,) = S.scan(df).collect()
+    assert r["text"] == "token=Zx81kQ9wLm27Vb5Tn3Rj6Yh4 end" and list(r)[2:-1] == names[:-1] and len(r.spans) == 1
