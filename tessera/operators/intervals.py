@@ -5,18 +5,22 @@ the one before; an interval lies in at most two cells of its own level and of ev
 intervals that overlap share a cell of the wider one's level, so that is where the pair is looked for: once, in the
 first cell that both have. Long intervals cost no more rows than short ones, and Spark's joins sort,
 spill, and split skewed cells.
+
+Counts and nearest look-ups make no pairs: they are running sums and extremes along the line, which is cut into parts of
+about equal numbers of bounds, and cost in proportion to the intervals, however many overlap.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEP = 2  # bits between levels
-#: Bits of a start below which neighbours are searched together.
-NEAR_BITS = 10
+#: Bounds that one task runs along, about, and the most parts of a line.
+NEAR_ROWS, NEAR_CUTS = 2_000_000, 1000
 
 
 class IntervalFrame:
@@ -134,7 +138,7 @@ class IntervalFrame:
         if bool(self.plane) != bool(other.plane):
             raise ValueError("both sides or none have a plane")
         if levels is None:
-            widest = max(self.max_width().first()[0], other.max_width().first()[0], 1)
+            widest = max(self.max_width().union(other.max_width()).agg(F.max("max_width")).first()[0], 1)
             levels = -(-(widest - 1).bit_length() // STEP)
         a, b = self._celled("a", levels), other._celled("b", levels)
         on = [*(["plane"] if self.plane else []), "level", "cell"]
@@ -142,65 +146,135 @@ class IntervalFrame:
         once = (F.col("level") == F.greatest("al", "bl")) & (F.col("cell") == F.greatest("af", "bf"))
         return a.join(b, on).where(met & once).select("a", "b")
 
-    def overlap_counts(self, queries: IntervalFrame, key: str) -> DataFrame:
-        """(key, hits) for each query, zero included."""
-        hits = self.join(queries).groupBy(F.col(f"b.{key}").alias(key)).agg(F.count("*").alias("hits"))
-        return queries.df.select(key).join(hits, key, "left").select(key, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+    # --- look-ups that make no pairs
+    def _entries(self) -> DataFrame:
+        """(plane, s, e, x) of the entries with bounds, and a plane if there are planes; x: a struct of bounds and values."""
+        own = [c for c in self.df.columns if c not in (self.start, self.end)]
+        s, e = F.col(self.start).cast("long"), F.col(self.end).cast("long")
+        plane = F.col(self.plane) if self.plane else F.lit(0)
+        x = F.struct(s.alias("s"), e.alias("e"), F.struct(*own).alias("v")).alias("x")
+        return self.df.where(s.isNotNull() & e.isNotNull() & plane.isNotNull()).select(plane.alias("plane"), s.alias("s"), e.alias("e"), x)
+
+    def _asked(self, key: str) -> DataFrame:
+        """(key, plane, qs, qe) of all rows."""
+        plane = F.col(self.plane) if self.plane else F.lit(0)
+        return self.df.select(F.col(key).alias("key"), plane.alias("plane"), F.col(self.start).cast("long").alias("qs"), F.col(self.end).cast("long").alias("qe"))
+
+    def overlap_counts(self, queries: IntervalFrame, key: str, first: bool = False) -> DataFrame:
+        """(key, hits) for each query, zero included; with ``first`` also the lowest start of an overlapping entry.
+
+        Hits are the entries that start before the query's end, less those that end before its start: two running
+        counts along the line, and no pairs. A null or inverted interval overlaps nothing; rows of one key share their sum.
+        """
+        if bool(self.plane) != bool(queries.plane):
+            raise ValueError("both sides or none have a plane")
+        entries = self._entries().where("e >= s")
+        asked = queries._asked(key)
+        extents = asked.where("qe >= qs and plane is not null").select("plane", "qs", "qe").distinct()
+        cuts = _cuts(entries, extents)
+        # at one place of the line: query ends, entry ends, starts of empty queries, ends of empty entries, query starts, entry starts
+        events = F.explode(F.array(F.struct(F.col("s").alias("r1"), F.lit(5).alias("r2")), F.struct(F.col("e").alias("r1"), F.when(F.col("s") == F.col("e"), 3).otherwise(1).alias("r2")))).alias("at")
+        events = entries.select("plane", events).select("plane", "at.r1", "at.r2").groupBy("plane", "r1", "r2").agg(F.count("*").alias("n"))
+        events = events.select("plane", "r1", "r2", F.when(F.col("r2") == 5, F.col("n")).otherwise(0).alias("begun"), F.when(F.col("r2") == 5, 0).otherwise(F.col("n")).alias("ended"))
+        points = F.explode(F.array(F.struct(F.col("qe").alias("r1"), F.lit(0).alias("r2")), F.struct(F.col("qs").alias("r1"), F.when(F.col("qs") == F.col("qe"), 2).otherwise(4).alias("r2")))).alias("at")
+        points = extents.select("plane", "qs", "qe", points).select("plane", "qs", "qe", "at.r1", "at.r2")
+        seen = _running(events, points, {"begun": F.sum, "ended": F.sum}, cuts)
+        hits = seen.groupBy("plane", "qs", "qe").agg(F.sum(F.when(F.col("r2") == 0, F.col("begun")).otherwise(-F.col("ended"))).alias("hits"))
+        if first:
+            hits = self._lowest(entries.select("plane", "e", F.struct("s").alias("x")), hits, cuts).select("plane", "qs", "qe", "hits", F.col("hit.s").alias("first_start"))
+        per = asked.join(hits, ["plane", "qs", "qe"], "left")
+        out = per.groupBy("key").agg(F.count("*").alias("n"), F.sum("hits").alias("hits"), *([F.min("first_start").alias("first_start")] if first else []))
+        out = out.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        return out.select(F.col("key").alias(key), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), *(["first_start"] if first else []))
+
+    @staticmethod
+    def _lowest(entries: DataFrame, extents: DataFrame, cuts: list) -> DataFrame:
+        """``extents`` with ``hit``: the least x of the entries (plane, e, x) that overlap, by x.s first.
+
+        The least of all that end after the query's start overlaps it, if any does.
+        """
+        ends = entries.groupBy("plane", F.expr("-e").alias("r1")).agg(F.min("x").alias("x")).withColumn("r2", F.lit(0))
+        asked = extents.withColumns({"r1": F.expr("-qs - 1"), "r2": F.lit(1)})
+        found = _running(ends, asked, {"x": F.min}, [-c for c in reversed(cuts)]).drop("r1", "r2")
+        return found.withColumn("hit", F.when((F.col("x.s") < F.col("qe")) & (F.col("qs") <= F.col("qe")), F.col("x"))).drop("x")
 
     # --- nearest
     def nearest(self, queries: IntervalFrame, key: str, mode: str = "nearest") -> DataFrame:
         """(key, found, gap) for each query: a struct of an entry on the query's plane, null if the plane has none.
 
         ``nearest``: least distance, then the lowest (start, end). ``floor``: of the overlapping entries the lowest; if none
-        overlaps, the greatest in (start, end) order before the query, else the first of the plane.
+        overlaps, the greatest in (start, end) order before the query, else the first of the plane. Equal queries are looked
+        up once; what overlaps, and what is before and after, are extremes along the line, so no pairs are made. A query
+        with a null bound finds nothing.
         """
         if mode not in ("nearest", "floor"):
             raise ValueError(mode)
-        plane = [F.col(self.plane).alias("plane")] if self.plane else [F.lit(0).alias("plane")]
-        own = [c for c in self.df.columns if c not in (self.start, self.end)]
-        entry = F.struct(F.col(self.start).cast("long").alias("s"), F.col(self.end).cast("long").alias("e"), F.struct(*own).alias("v")).alias("x")
-        entries = self.df.where(F.col(self.start).isNotNull() & F.col(self.end).isNotNull()).select(*plane, entry)
-        q_plane = F.col(queries.plane) if queries.plane else F.lit(0)
-        qs = queries.df.select(F.col(key).alias("q"), q_plane.alias("plane"), F.col(queries.start).cast("long").alias("qs"), F.col(queries.end).cast("long").alias("qe"))
-        pairs = self.join(queries)
-        hit = F.struct(F.col(f"a.{self.start}").cast("long").alias("s"), F.col(f"a.{self.end}").cast("long").alias("e"), F.struct(*(F.col(f"a.{c}") for c in own)).alias("v"))
-        hits = pairs.select(F.col(f"b.{key}").alias("q"), hit.alias("x")).groupBy("q").agg(F.min("x").alias("hit"))
-        ends = entries.groupBy("plane").agg(F.min("x").alias("first"))
-        qs = qs.join(hits, "q", "left").join(ends, "plane", "left")
+        entries, asked = self._entries(), queries._asked(key)
+        extents = asked.where("qs is not null and qe is not null and plane is not null").select("plane", "qs", "qe").distinct()
+        cuts = _cuts(entries, extents)
+        back = [-c for c in reversed(cuts)]
+        found = self._lowest(entries.where("e >= s").select("plane", "e", "x"), extents, cuts)
         if mode == "floor":
-            before = _previous(entries, qs, lambda x: (x["s"], x["e"]), (F.col("qs"), F.col("qe")))
-            found = F.coalesce("hit", "before", "first")
-            out = before.select("q", "qs", "qe", found.alias("found"))
+            found = _previous(entries, found, ("s", "e"), ("qs", "qe"), cuts, "before")
+            ends = entries.groupBy("plane").agg(F.min("x").alias("first"))
+            out = found.join(ends, "plane").select("plane", "qs", "qe", F.coalesce("hit", "before", "first").alias("found"))
         else:
-            left = _previous(entries, qs, lambda x: (x["e"], -x["s"]), (F.col("qs"), F.lit(1 << 62)), low_ties=True).withColumnRenamed("before", "left")
-            right = _previous(entries, left, lambda x: (-x["s"], -x["e"]), (-F.col("qe"), F.lit(1 << 62)), low_ties=True).withColumnRenamed("before", "right")
+            far = str((1 << 62) - 1)
+            found = _previous(entries, found, ("e", "-s"), ("qs", far), cuts, "left", low_ties=True)
+            found = _previous(entries, found, ("-s", "-e"), ("-qe", far), back, "right", low_ties=True)
             a, b = F.col("qs") - F.col("left.e"), F.col("right.s") - F.col("qe")
             side = F.when(F.col("left").isNull(), F.col("right")).when(F.col("right").isNull() | (a <= b), F.col("left")).otherwise(F.col("right"))
-            out = right.select("q", "qs", "qe", F.coalesce("hit", side).alias("found"))
+            out = found.select("plane", "qs", "qe", F.coalesce("hit", side).alias("found"))
+        out = asked.join(out, ["plane", "qs", "qe"], "left")
         gap = F.greatest(F.col("found.s") - F.col("qe"), F.col("qs") - F.col("found.e"), F.lit(0).cast("long"))
-        return out.select(F.col("q").alias(key), "found", F.when(F.col("found").isNotNull(), gap).alias("gap"))
+        return out.select(F.col("key").alias(key), "found", F.when(F.col("found").isNotNull(), gap).alias("gap"))
+
+
+def _cuts(entries: DataFrame, extents: DataFrame) -> list[float]:
+    """Cuts of the line between about equal numbers of bounds: one for each ``NEAR_ROWS``, ``NEAR_CUTS`` at most."""
+    bounds = entries.select(F.explode(F.array("s", "e")).alias("r")).unionByName(extents.select(F.explode(F.array("qs", "qe")).alias("r")))
+    n = 2 * (entries.count() + extents.count())
+    parts = min(NEAR_CUTS + 1, -(-n // NEAR_ROWS))
+    if parts < 2:
+        return []
+    found = bounds.agg(F.percentile_approx("r", [k / parts for k in range(1, parts)], 10 * NEAR_CUTS)).first()[0]
+    return sorted({float(c) for c in found})
 
 
-def _previous(entries: DataFrame, queries: DataFrame, rank: Callable, at: tuple, low_ties: bool = False) -> DataFrame:
-    """``queries`` with ``before``: the entry of the greatest rank (a pair) not above ``at``, on the plane.
+def _running(entries: DataFrame, asked: DataFrame, values: dict[str, Callable], cuts: list[float]) -> DataFrame:
+    """``asked`` with each value summed up (sum, min or max) over the entries at or before (r1, r2), on the plane.
 
-    Entries and queries are put side by side in buckets of the line, so no task needs a whole plane; what
-    a bucket inherits from those before is found over one row for each bucket. Of equal ranks, the greatest
-    entry, or the least with ``low_ties``.
+    Both have plane, r1 and r2. They are put side by side in the parts of the line between ``cuts``, so no task needs
+    a whole plane; what a part inherits is found over one row for each part.
     """
-    x = F.col("x")
-    r1, r2 = rank(x)
-    pick = (lambda c: F.min(c)) if low_ties else (lambda c: F.max(c))
-    one = entries.select("plane", r1.cast("long").alias("r1"), r2.cast("long").alias("r2"), "x").groupBy("plane", "r1", "r2").agg(pick("x").alias("x"))
-    one = one.withColumn("bucket", F.shiftright("r1", NEAR_BITS))
-    asked = queries.withColumns({"r1": at[0].cast("long"), "r2": at[1].cast("long")}).withColumn("bucket", F.shiftright("r1", NEAR_BITS))
-    columns = queries.columns
-    both = one.select("plane", "bucket", "r1", "r2", F.struct("r1", "r2", "x").alias("e"), F.lit(None).cast(asked.select(F.struct(*columns)).schema[0].dataType).alias("row"))
-    both = both.unionByName(asked.select("plane", "bucket", "r1", "r2", F.lit(None).cast(both.schema["e"].dataType).alias("e"), F.struct(*columns).alias("row")))
-    in_bucket = Window.partitionBy("plane", "bucket").orderBy("r1", "r2", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("near", F.last("e", ignorenulls=True).over(in_bucket)).where("row is not null")
-    tops = both.groupBy("plane", "bucket").agg(F.max("e").alias("top"))
-    earlier = Window.partitionBy("plane").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select("plane", "bucket", F.last("top", ignorenulls=True).over(earlier).alias("carry"))
-    out = seen.join(carried, ["plane", "bucket"])
-    return out.select(*(F.col(f"row.{c}").alias(c) for c in columns), F.coalesce("near.x", "carry.x").alias("before"))
+    columns = asked.columns
+    kinds = {c: entries.schema[c].dataType for c in values}
+    row = asked.select("plane", "r1", "r2", *(F.lit(None).cast(k).alias(c) for c, k in kinds.items()), F.struct(*columns).alias("row"))
+    both = entries.select("plane", "r1", "r2", *values, F.lit(None).cast(row.schema["row"].dataType).alias("row")).unionByName(row)
+    if cuts:
+        from pyspark.ml.feature import Bucketizer
+
+        edges = [-math.inf, *cuts, math.inf]
+        both = Bucketizer(splits=edges, inputCol="at", outputCol="part").transform(both.withColumn("at", F.col("r1").cast("double"))).drop("at")
+    else:
+        both = both.withColumn("part", F.lit(0.0))
+    before = Window.partitionBy("plane", "part").orderBy("r1", "r2", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.select("plane", "part", "row", *(f(c).over(before).alias(c) for c, f in values.items())).where("row is not null")
+    if cuts:
+        tops = both.groupBy("plane", "part").agg(*(f(c).alias(c) for c, f in values.items()))
+        earlier = Window.partitionBy("plane").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = tops.select("plane", "part", *(f(c).over(earlier).alias(f"{c}_before") for c, f in values.items()))
+        seen = seen.join(carried, ["plane", "part"])
+    joint = {F.sum: lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), F.min: F.least, F.max: F.greatest}
+    both_of = lambda c, f: joint[f](F.col(c), F.col(f"{c}_before") if cuts else F.lit(None).cast(kinds[c]))
+    return seen.select(*(F.col(f"row.{c}").alias(c) for c in columns), *(both_of(c, f).alias(c) for c, f in values.items()))
+
+
+def _previous(entries: DataFrame, extents: DataFrame, rank: tuple[str, str], at: tuple[str, str], cuts: list[float], name: str, low_ties: bool = False) -> DataFrame:
+    """``extents`` with the entry of the greatest rank (a pair) not above ``at``, on the plane. Of equal ranks, the
+    greatest entry, or the least with ``low_ties``."""
+    pick = F.min if low_ties else F.max
+    ranked = entries.select("plane", F.expr(rank[0]).alias("r1"), F.expr(rank[1]).alias("r2"), "x").groupBy("plane", "r1", "r2").agg(pick("x").alias("x"))
+    ranked = ranked.select("plane", "r1", "r2", F.struct("r1", "r2", "x").alias("top"))
+    asked = extents.withColumns({"r1": F.expr(at[0]).cast("long"), "r2": F.expr(at[1]).cast("long")})
+    return _running(ranked, asked, {"top": F.max}, cuts).drop("r1", "r2").withColumn(name, F.col("top.x")).drop("top")

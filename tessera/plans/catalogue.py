@@ -111,16 +111,14 @@ def iv_overlap_join_plane(spark, sf_dir):
   SELECT o_orderkey, count(*) AS hits, min("start") AS first_start FROM pairs GROUP BY o_orderkey""")
 def iv_overlap_join_global(spark, sf_dir):
     extents = IntervalFrame(ship(spark, sf_dir).df.select("start", "end").distinct())
-    both = extents.join(IntervalFrame(orders(spark, sf_dir).df.drop("plane")))
-    return both.groupBy("b.o_orderkey").agg(F.count("*").alias("hits"), F.min("a.start").alias("first_start"))
+    return extents.overlap_counts(IntervalFrame(orders(spark, sf_dir).df.drop("plane")), "o_orderkey", first=True).where("hits > 0")
 
 
 @query(f"""SELECT o_orderkey, count(*) AS hits, min(s."start") AS first_start FROM {ORD_SQL} o JOIN {SHIP_SQL} s ON s."start" < o."end" AND o."start" < s."end" GROUP BY o_orderkey""")
 def iv_overlap_join_global_rows(spark, sf_dir):
-    """As iv_overlap_join_global, over all intervals: those of one extent are joined once and counted as often as they occur."""
-    extents = IntervalFrame(ship(spark, sf_dir).df.groupBy("start", "end").agg(F.count("*").alias("n")))
-    both = extents.join(IntervalFrame(orders(spark, sf_dir).df.drop("plane")))
-    return both.groupBy("b.o_orderkey").agg(F.sum("a.n").alias("hits"), F.min("a.start").alias("first_start"))
+    """As iv_overlap_join_global, over all intervals."""
+    entries = IntervalFrame(ship(spark, sf_dir).df.drop("plane"))
+    return entries.overlap_counts(IntervalFrame(orders(spark, sf_dir).df.drop("plane")), "o_orderkey", first=True).where("hits > 0")
 
 
 @query(f"""SELECT o_orderkey, count(s.plane) AS hits FROM {ORD_SQL} o LEFT JOIN {SHIP_SQL} s ON s.plane = o.plane AND s."start" < o."end" AND o."start" < s."end" GROUP BY o_orderkey""")

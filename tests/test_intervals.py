@@ -136,3 +136,59 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(x) for x in seen} == {(1, 7), (0, 7)}
+
+
+def brute_look_ups(entries, queries):
+    """Hits, lowest start, nearest and floor of (start, end, plane) lists, by comparing all."""
+    out = {}
+    for k, (qs, qe, p) in queries.items():
+        known = [x for x in entries if None not in x and x[2] == p] if p is not None else []
+        fine = [x for x in known if x[0] <= x[1]]
+        bound = None not in (qs, qe)
+        hit = [x for x in fine if bound and qs <= qe and x[0] < qe and qs < x[1]]
+        gap = lambda x: max(x[0] - qe, qs - x[1], 0)
+        near = min(hit)[:2] if hit else None
+        if bound and not hit:
+            left = [x for x in known if x[1] <= qs]
+            right = [x for x in known if x[0] >= qe]
+            a = max(left, key=lambda x: (x[1], -x[0]))[:2] if left else None
+            b = min(right)[:2] if right else None
+            near = a if a and (not b or qs - a[1] <= b[0] - qe) else b
+        before = [x[:2] for x in known if bound and x[:2] <= (qs, qe)]
+        floor = (min(hit)[:2] if hit else max(before) if before else min(known)[:2] if known else None) if bound else None
+        out[k] = (len(hit), min(hit)[0] if hit else None, near, floor)
+    return out
+
+
+@pytest.mark.parametrize("parts", [(50_000, 1000), (40, 7)])
+def test_look_ups_along_the_line(spark, monkeypatch, parts):
+    from tessera.operators import intervals
+
+    monkeypatch.setattr(intervals, "NEAR_ROWS", parts[0])
+    monkeypatch.setattr(intervals, "NEAR_CUTS", parts[1])
+    r = random.Random(4)
+    at = lambda: r.choice([r.randint(-60, 60), 7])
+
+    def interval():
+        a = at()
+        return (a, a + r.choice([0, 0, 1, 2, 5, 40]), r.choice([1, 1, 1, 2, 3]))
+
+    entries = [interval() for _ in range(400)] + [(None, 3, 1), (3, None, 1), (1, 4, None), (9, 2, 2)]
+    queries = dict(enumerate([*(interval() for _ in range(300)), *([(7, 12, 1)] * 50), (None, 3, 1), (3, None, 1), (1, 4, None), (9, 2, 4), (1, 4, 9)]))
+    frame = IntervalFrame.from_rows(spark, entries, "start long, end long, plane long", plane="plane")
+    asked = IntervalFrame.from_rows(spark, [(k, *q) for k, q in queries.items()], "k long, start long, end long, plane long", plane="plane")
+    want = brute_look_ups(entries, queries)
+    got = {x.k: (x.hits, x.first_start) for x in frame.overlap_counts(asked, "k", first=True).collect()}
+    assert got == {k: w[:2] for k, w in want.items()}
+    for mode, j in (("nearest", 2), ("floor", 3)):
+        found = {x.k: (x.found.s, x.found.e) if x.found else None for x in frame.nearest(asked, "k", mode).collect()}
+        assert found == {k: w[j] for k, w in want.items()}, mode
+
+
+def test_counts_of_no_entries_no_queries_and_one_key(spark):
+    none = IntervalFrame.from_rows(spark, [], "k long, start long, end long")
+    some = IntervalFrame.from_rows(spark, [(1, 0, 5), (1, 2, 3), (None, 4, 9)], "k long, start long, end long")
+    assert none.overlap_counts(none, "k").count() == none.nearest(none, "k").count() == 0
+    assert sorted(map(tuple, none.overlap_counts(some, "k").collect()), key=str) == [(1, 0), (1, 0), (None, 0)]
+    assert sorted(map(tuple, some.overlap_counts(some, "k").collect()), key=str) == [(1, 5), (1, 5), (None, 2)]
+    assert all(x.found is None and x.gap is None for x in none.nearest(some, "k").collect())
