@@ -10,13 +10,15 @@ agree for 200 bytes. It is built here for the suffixes that can matter only, and
 2. Anchors are counted by their gram's hash. A string whose anchor occurs once is not repeated. If
    all contexts of a gram are the same, all their strings are repeated. So are those of any context that
    occurs twice.
-3. For the other grams, each different context goes, once, to a block (by gram); there the suffixes of each
-   context's strings are sorted bucket by bucket with a difference cover (``suffixes``), and neighbours are
+   Contexts are told apart by 128-bit digests (XXH3) of their bytes.
+3. For the other grams, each different context goes, once, to a block (by gram); there the suffixes of all
+   strings are sorted bucket by bucket with a difference cover (``suffixes``), and the bytes of neighbours are
    compared. Hash collisions of grams only put strangers in a block.
 4. A gram of more than ``GRAM_CONTEXTS`` different contexts is not given to one task: each of its
    strings is a bucket of its own, found by a 128-bit hash and counted with partial sums.
 5. What is repeated returns to the documents, which are joined with their texts twice in all: to cut out
-   contexts, and to remove.
+   contexts, and to remove. The documents are numbered once, and written with their numbers: however later passes split
+   that table, and whatever is computed again, a number stays with its text.
 
 Defined cases: null and empty texts have no strings; a text shorter than 200 bytes loses nothing; equal
 texts of 200 bytes or more lose everything; rows with equal or null doc_ids are documents of their own; texts
@@ -37,7 +39,6 @@ from .suffixes import Block
 
 DEPTH, GRAM = 200, 64
 REACH = DEPTH - GRAM  # strings start at most so far before their anchor
-WIDTH = REACH + DEPTH  # bytes of the widest context
 PAD = 256
 #: Positions in a stretch of text that is hashed at once.
 STRETCH = 1 << 17
@@ -79,8 +80,10 @@ def _least(keys, width: int):
 
 
 def anchors(texts: list[bytes]):
-    """(text, place, gram hash, context hash, lowest and highest distance of an owned string's start) arrays."""
+    """(text, place, gram hash, lowest and highest distance of an owned string's start, both halves of the context's
+    digest) arrays."""
     import numpy as np
+    import xxhash
 
     out: list = []
     pad = b"\xff" * PAD  # in no UTF-8 text
@@ -92,7 +95,8 @@ def anchors(texts: list[bytes]):
             parts += (t, pad)
             spans.append((i, skip, at, len(t)))
             at += len(t) + PAD
-        raw = np.frombuffer(b"".join(parts), np.uint8)
+        whole = b"".join(parts)
+        raw = np.frombuffer(whole, np.uint8)
         h = _hashes(raw)
         ids, skips, starts, sizes = (np.array(x) for x in zip(*spans))
         order = _mix(h, h >> np.uint64(7)) & ~np.uint64((1 << 24) - 1) | np.arange(len(h), dtype=np.uint64)
@@ -106,12 +110,10 @@ def anchors(texts: list[bytes]):
         p = pick[head]
         low, high = p - first[tail], p - first[head]
         of = np.searchsorted(starts, p, "right") - 1
-        g = _mix(low.astype(np.uint64) + np.uint64(1), high.astype(np.uint64))
-        size = DEPTH + high - low  # of the context, from p - high on
-        for k in range(0, WIDTH, GRAM):
-            at = p - high + np.minimum(k, size - GRAM)  # the last ones overlap
-            g = _mix(g, h[at])
-        out.append((ids[of], p - starts[of] + skips[of], h[p].view(np.int64), g.view(np.int64), low, high))
+        digest, view = xxhash.xxh3_128_digest, memoryview(whole)
+        d = [digest(view[x:y], z) for x, y, z in zip((p - high).tolist(), (p - low + DEPTH).tolist(), (high << 8 | low).tolist())]
+        g = np.frombuffer(b"".join(d), "<i8").reshape(-1, 2)
+        out.append((ids[of], p - starts[of] + skips[of], h[p].view(np.int64), low, high, g[:, 0], g[:, 1]))
         held.clear()
 
     n = 0
@@ -130,22 +132,19 @@ def anchors(texts: list[bytes]):
     if held:
         flush()
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def context(text: bytes, place: int, low: int, high: int) -> bytes:
-    """A context laid out with its anchor at column REACH; bytes outside are 0xFF."""
-    own = text[place - high : place - low + DEPTH]
-    return (b"\xff" * (REACH - high) + own).ljust(WIDTH, b"\xff")
+    """The bytes of an anchor's strings: the first starts ``high`` before it, the last ``low``."""
+    return text[place - high : place - low + DEPTH]
 
 
 # --- stages ---------------------------------------------------------------------------------------
-# Rows are numbered where they are read. A place is packed with its distances: place << 16 | low << 8 | high.
+# A place is packed with its distances: place << 16 | low << 8 | high. A context is (h, g, k): its gram's hash and its digest.
 
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("uid", F.monotonically_increasing_id())
+KEY = ["h", "g", "k"]
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
@@ -155,49 +154,52 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             uid = b.column(0).to_numpy()
-            of, place, h, g, low, high = anchors(utf8(b.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (uid[of] if len(of) else np.zeros(0, np.int64), place << 16 | low << 8 | high, h, g)], ["uid", "at", "h", "g"])
+            of, place, h, low, high, g, k = anchors(utf8(b.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (uid[of] if len(of) else np.zeros(0, np.int64), place << 16 | low << 8 | high, h, g, k)], ["uid", "at", *KEY])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, at long, h long, g long")
+    return docs.select("uid", "text").mapInArrow(run, "uid long, at long, h long, g long, k long")
 
 
 def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, g, hot, low, high, ctx) of wanted anchors (uid, at, h, g, hot)."""
-    per = wanted.groupBy("uid").agg(F.collect_list(F.struct("at", "h", "g", "hot")).alias("a"))
+    """(h, g, k, hot, low, high, ctx) of wanted anchors (uid, at, h, g, k, hot)."""
+    per = wanted.groupBy("uid").agg(F.collect_list(F.struct("at", *KEY, "hot")).alias("a"))
     rows = docs.select("uid", "text").join(per, "uid").select("text", "a")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
         for b in batches:
             out: list[tuple] = []
             for text, found in zip(utf8(b.column(0)), b.column(1).to_pylist()):
                 for x in found:
                     low, high = x["at"] >> 8 & 255, x["at"] & 255
-                    out.append((x["h"], x["g"], x["hot"], low, high, context(text, x["at"] >> 16, low, high)))
-            columns = list(zip(*out)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "g", "hot", "low", "high", "ctx"])
+                    out.append((x["h"], x["g"], x["k"], x["hot"], low, high, context(text, x["at"] >> 16, low, high)))
+            columns = list(zip(*out)) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [*KEY, "hot", "low", "high", "ctx"])
 
-    return rows.mapInArrow(run, "h long, g long, hot boolean, low int, high int, ctx binary")
+    return rows.mapInArrow(run, "h long, g long, k long, hot boolean, low int, high int, ctx binary")
 
 
-def sort_contexts(rows, low, high):
+def sort_contexts(contexts: list[bytes], low, high):
     """Which strings of which context are repeated: boolean (contexts, REACH + 1) by distance of the start."""
     import numpy as np
 
-    block = Block(rows)
-    hit = np.zeros((len(rows), REACH + 1), bool)
-    for d in range(REACH + 1):
-        own = np.flatnonzero((low <= d) & (d <= high))
-        hit[block.repeated(REACH - d, own, DEPTH), d] = True
+    block = Block(contexts)
+    per = high - low + 1
+    own = np.repeat(np.arange(len(contexts)), per)
+    inner = np.arange(len(own)) - np.repeat(np.cumsum(per) - per, per)
+    found = block.repeated(block.starts[own] + inner, DEPTH)
+    at = np.searchsorted(block.starts, found, "right") - 1
+    hit = np.zeros((len(contexts), REACH + 1), bool)
+    hit[at, high[at] - (found - block.starts[at])] = True
     return hit
 
 
 def _sorted(contexts: DataFrame) -> DataFrame:
-    """(h, g, mask): which strings of a context start elsewhere too, by blocks of whole grams."""
+    """(h, g, k, mask): which strings of a context start elsewhere too, by blocks of whole grams."""
     n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = contexts.repartition(n, "h").sortWithinPartitions("h", "g").select("h", "g", "low", "high", "ctx")
+    dealt = contexts.repartition(n, "h").sortWithinPartitions(*KEY).select(*KEY, "low", "high", "ctx")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -205,11 +207,11 @@ def _sorted(contexts: DataFrame) -> DataFrame:
 
         def done(held: list):
             table = pa.Table.from_batches(held)
-            h, g, low, high = (table.column(k).to_numpy() for k in range(4))
-            hit = sort_contexts(np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, WIDTH), low, high)
+            h, g, k, low, high = (table.column(c).to_numpy().astype(np.int64) for c in range(5))
+            hit = sort_contexts(table.column(5).to_pylist(), low, high)
             some = hit.any(1)
             masks = [m.tobytes() for m in np.packbits(hit[some], axis=1, bitorder="little")]
-            return pa.RecordBatch.from_arrays([pa.array(h[some], pa.int64()), pa.array(g[some], pa.int64()), pa.array(masks, pa.binary())], ["h", "g", "mask"])
+            return pa.RecordBatch.from_arrays([*(pa.array(x[some], pa.int64()) for x in (h, g, k)), pa.array(masks, pa.binary())], [*KEY, "mask"])
 
         held: list = []
         n, last = 0, None
@@ -229,50 +231,51 @@ def _sorted(contexts: DataFrame) -> DataFrame:
         if held:
             yield done(held)
 
-    return dealt.mapInArrow(run, "h long, g long, mask binary")
+    return dealt.mapInArrow(run, "h long, g long, k long, mask binary")
 
 
 def _strings(contexts: DataFrame) -> DataFrame:
-    """(s1, s2, h, g, d) of all strings of contexts: their 128-bit hashes."""
+    """(s1, s2, h, g, k, d) of all strings of contexts: their 128-bit hashes."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            for h, g, low, high, ctx in zip(*(c.to_pylist() for c in b.columns)):
+            for h, g, k, low, high, ctx in zip(*(c.to_pylist() for c in b.columns)):
                 ds = range(low, high + 1)
-                found = [hashlib.blake2b(ctx[REACH - d : REACH - d + DEPTH], digest_size=16).digest() for d in ds]
-                halves = [[int.from_bytes(x[k : k + 8], "little", signed=True) for x in found] for k in (0, 8)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*halves, [h] * len(ds), [g] * len(ds), list(ds))], ["s1", "s2", "h", "g", "d"])
+                found = [hashlib.blake2b(ctx[high - d : high - d + DEPTH], digest_size=16).digest() for d in ds]
+                halves = [[int.from_bytes(x[i : i + 8], "little", signed=True) for x in found] for i in (0, 8)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*halves, [h] * len(ds), [g] * len(ds), [k] * len(ds), list(ds))], ["s1", "s2", *KEY, "d"])
 
-    return contexts.select("h", "g", "low", "high", "ctx").mapInArrow(run, "s1 long, s2 long, h long, g long, d long")
+    return contexts.select(*KEY, "low", "high", "ctx").mapInArrow(run, "s1 long, s2 long, h long, g long, k long, d long")
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(uid, a): for each numbered document with repeated strings, their anchors (at, mask); a null mask is all. And the
     tables that this frame reads."""
     found = common.materialised(_anchor_rows(docs), "anchors")
-    grams = found.groupBy("h").agg(F.count("*").alias("n"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("n > 1")
-    grams = common.materialised(grams.select("h", F.when(F.col("g1") != F.col("g2"), F.col("n")).alias("n")), "grams")
+    grams = found.groupBy("h").agg(F.count("*").alias("n"), *(f(c).alias(f"{c}{i}") for c in ("g", "k") for i, f in ((1, F.min), (2, F.max)))).where("n > 1")
+    differ = (F.col("g1") != F.col("g2")) | (F.col("k1") != F.col("k2"))
+    grams = common.materialised(grams.select("h", F.when(differ, F.col("n")).alias("n")), "grams")
     again = common.materialised(found.join(grams, "h"), "again")  # n is null where all contexts are the same
     common.discard(found)
     # one occurrence stands for each different context
     several = again.where("n is not null")
-    ones = several.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("uid", "at")).alias("o"), F.first("n").alias("n"))
-    ones = common.materialised(ones.select("h", "g", "c", "o.uid", "o.at", "n"), "contexts")
-    hot = ones.where(F.col("n") > GRAM_CONTEXTS).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > GRAM_CONTEXTS)
-    wanted = ones.join(hot.select("h", F.lit(True).alias("hot")), "h", "left").select("uid", "at", "h", "g", F.coalesce("hot", F.lit(False)).alias("hot"))
+    ones = several.groupBy(*KEY).agg(F.count("*").alias("c"), F.min(F.struct("uid", "at")).alias("o"), F.first("n").alias("n"))
+    ones = common.materialised(ones.select(*KEY, "c", "o.uid", "o.at", "n"), "contexts")
+    hot = ones.where(F.col("n") > GRAM_CONTEXTS).groupBy("h").agg(F.count("*").alias("many")).where(F.col("many") > GRAM_CONTEXTS)
+    wanted = ones.join(hot.select("h", F.lit(True).alias("hot")), "h", "left").select("uid", "at", *KEY, F.coalesce("hot", F.lit(False)).alias("hot"))
     cut = common.materialised(_cut(docs, wanted), "cut")
     strings = _strings(cut.where("hot"))
-    twice = common.materialised(strings.groupBy("s1", "s2").agg(F.count("*").alias("k")).where("k > 1").select("s1", "s2"), "twice")
-    late = strings.join(twice, ["s1", "s2"]).groupBy("h", "g").agg(F.collect_set("d").alias("ds"))
+    twice = common.materialised(strings.groupBy("s1", "s2").agg(F.count("*").alias("times")).where("times > 1").select("s1", "s2"), "twice")
+    late = strings.join(twice, ["s1", "s2"]).groupBy(*KEY).agg(F.collect_set("d").alias("ds"))
     octet = f"transform(sequence(0, {REACH // 8}), b -> lpad(hex(aggregate(ds, 0L, (a, d) -> if(d div 8 = b, a | shiftleft(1L, cast(d % 8 as int)), a))), 2, '0'))"
-    late = late.select("h", "g", F.expr(f"unhex(array_join({octet}, ''))").alias("mask"))
-    copies = ones.where("c > 1").select("h", "g", F.lit(None).cast("binary").alias("mask"))
+    late = late.select(*KEY, F.expr(f"unhex(array_join({octet}, ''))").alias("mask"))
+    copies = ones.where("c > 1").select(*KEY, F.lit(None).cast("binary").alias("mask"))
     masks = common.materialised(_sorted(cut.where("not hot")).unionByName(late).unionByName(copies), "masks")
     for old in (grams, ones, cut, twice):
         common.discard(old)
-    marked = several.join(masks, ["h", "g"]).select("uid", "at", "mask")
+    marked = several.join(masks, KEY).select("uid", "at", "mask")
     marked = marked.unionByName(again.where("n is null").select("uid", "at", F.lit(None).cast("binary").alias("mask")))
     return marked.groupBy("uid").agg(F.collect_list(F.struct("at", "mask")).alias("a")), [again, masks]
 
@@ -297,9 +300,9 @@ def removed(n: int, found: list[dict]):
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    """The numbered documents with their repeats in column ``a``."""
+    """The documents with their repeats in column ``a``."""
     common.tune(docs.sparkSession)
-    docs = _numbered(_from_files(docs))
+    docs = common.materialised(docs.withColumn("uid", F.monotonically_increasing_id()), "numbered")
     found, read = repeats(docs)
     found = common.materialised(found, "repeats")
     for old in read:
@@ -307,13 +310,6 @@ def _joined(docs: DataFrame) -> DataFrame:
     return docs.join(found, "uid", "left")
 
 
-def _from_files(docs: DataFrame) -> DataFrame:
-    """Rows are numbered in every pass, so they must come in the same order each time: as files do."""
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    nodes = [x.strip(" +-:").split(" ")[0] for x in plan.splitlines() if x.strip()]
-    return docs if all(x in ("Relation", "Project", "RelationV2", "ColumnPruning") for x in nodes) else common.materialised(docs, "numbered")
-
-
 def op4_blockwise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is removed from each document, and the digest of what is left."""
 

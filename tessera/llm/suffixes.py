@@ -1,15 +1,21 @@
 """Blockwise suffix sorting with a difference cover.
 
-A block is a set of contexts, laid out at a stride that is a multiple of the cover's period, so a suffix's
-residue is its column. The suffixes at the cover's columns are ranked first. Then one bucket, the
-suffixes of one column, is sorted at a time: by their bytes up to the next cover column (less than a period),
-and long ties by the rank of the cover suffix there, which stands for all that follows. So no comparison
-reads more than a period of bytes, and memory is bounded by the block and one bucket.
+A block is a text made of strings, each followed by a mark of its own, so no two suffixes are equal. The suffixes at
+positions whose residue modulo the period is in the cover are the sample; they are ranked first, by doubling. Any suffixes,
+of whatever residues, are then sorted one bucket at a time: a bucket holds suffixes of neighbouring first bytes, and is
+sorted by the first period of bytes. Suffixes that agree on all of it (long ties) are merged by comparisons of two ranks: for any
+two positions the cover has a shift, smaller than the period, that takes both to the sample, and as the bytes before
+agree, the ranks there decide. So a comparison reads a period of bytes at most, and memory is bounded by the block, its
+ranks, and one bucket.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 PERIOD = 64
+#: Suffixes of a bucket, about: suffixes of equal first bytes stay together.
+BUCKET = 1 << 17
 
 
 def difference_cover(period: int) -> list[int]:
@@ -27,70 +33,135 @@ def difference_cover(period: int) -> list[int]:
     return sorted(cover)
 
 
-COVER = difference_cover(PERIOD)
+COVER = tuple(difference_cover(PERIOD))
+
+
+@lru_cache
+def shifts(period: int, cover: tuple[int, ...]):
+    """For each two residues the least shift that takes both into the cover: (period, period)."""
+    import numpy as np
+
+    inside = np.zeros(2 * period, bool)
+    inside[[*cover, *(c + period for c in cover)]] = True
+    a, b = np.arange(period)[:, None], np.arange(period)[None, :]
+    found = np.full((period, period), -1)
+    for s in range(period - 1, -1, -1):
+        found[inside[a + s] & inside[b + s]] = s
+    if (found < 0).any():
+        raise ValueError("not a difference cover: some positions have no shift into it in common")
+    return found
 
 
 class Block:
-    """Contexts as rows of bytes, all of one length."""
+    """The text of some strings; ``starts`` has the position of each."""
+
+    def __init__(self, strings: list[bytes], period: int = PERIOD, cover: tuple[int, ...] = COVER):
+        import numpy as np
+
+        if period % 8:
+            raise ValueError("the period is a multiple of 8")
+        self.period, self.shift = period, shifts(period, tuple(cover))
+        # the mark after a string: a byte that no UTF-8 text has, and the string's number
+        raw = b"".join([x for k, s in enumerate(strings) for x in (s, b"\xff" + k.to_bytes(5, "big"))]) + b"\1"
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings)) + 6
+        self.starts, self.n = np.cumsum(sizes) - sizes, len(raw)
+        wide = np.frombuffer(raw + bytes(period + 16 + -len(raw) % 8), np.uint8)
+        self.words = np.empty(len(raw) + period, np.uint64)  # the eight bytes from each position on
+        for k in range(8):
+            own = wide[k : k + (len(wide) - k) // 8 * 8].view(">u8")[: len(range(k, len(self.words), 8))]
+            self.words[k::8] = own
+        inside = np.zeros(period, bool)
+        inside[list(cover)] = True
+        self.sample = np.flatnonzero(inside[np.arange(self.n) % period])
+        self.ranks = self._ranked()
 
-    def __init__(self, rows, period: int = PERIOD, cover: list[int] = COVER):
+    def _first(self, of):
+        """Keys of the first period of bytes, the last word first."""
+        return [self.words[of + k] for k in range(self.period - 8, -1, -8)]
+
+    def _ranked(self):
+        """The rank, from 1 on, of the suffix at each position of the sample, 0 elsewhere and past the end."""
         import numpy as np
 
-        n, width = rows.shape
-        self.n, self.width = n, width
-        wide = np.full((n, -(-(width + 8) // 8) * 8 + period), 0xFF, np.uint8)
-        wide[:, :width] = rows
-        self.bytes = wide
-        self.columns = [c for c in range(width) if c % period in cover]
-        self.next = np.searchsorted(self.columns, np.arange(width))  # the cover column at or after each column
-        self.ranks = np.zeros((len(self.columns) + 1, n), np.int64)  # past the last there is one empty suffix
-        for k in range(len(self.columns) - 1, -1, -1):
-            end = self.columns[k + 1] if k + 1 < len(self.columns) else width
-            order, fresh = self._sort(np.arange(n), self.columns[k], end, self.ranks[k + 1])
-            self.ranks[k, order] = np.cumsum(fresh)
-
-    def _sort(self, of, start: int, end: int, ranks):
-        """Rows in the order of (bytes from start to end, rank); where an element differs from the one before."""
+        p, ranks, reach = self.sample, np.zeros(self.n + 1, np.int64), self.period
+        keys = self._first(p)
+        while True:
+            order = np.lexsort(keys)
+            fresh = np.ones(len(p), np.int64)
+            fresh[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+            ranks[p[order]] = np.cumsum(fresh)
+            if fresh.all():
+                return ranks
+            # what is ranked by its first bytes is ranked by twice as many with the ranks that far on
+            keys = [ranks[np.minimum(p + reach, self.n)], ranks[p]]
+            reach *= 2
+
+    def _less(self, a, b):
+        """Whether suffixes come before others that have the first period of bytes in common."""
+        s = self.shift[a % self.period, b % self.period]
+        return self.ranks[a + s] < self.ranks[b + s]
+
+    def _merged(self, of, group):
+        """Positions in groups (whose numbers ascend), each group in order; its suffixes have the first period in common."""
         import numpy as np
 
-        keys = [ranks[of]]
-        for at in range(start + (end - start - 1) // 8 * 8, start - 1, -8):
-            word = np.ascontiguousarray(self.bytes[of, at : at + 8]).view(">u8")[:, 0].astype(np.uint64)
-            over = at + 8 - end
-            keys.append(word >> np.uint64(8 * over) if over > 0 else word)
-        order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-        fresh = np.zeros(len(of), np.int64)
-        for k in keys:
-            s = k[order]
-            fresh[1:] |= s[1:] != s[:-1]
-        return of[order], fresh
-
-    def repeated(self, column: int, of, depth: int):
-        """Those of the rows ``of`` whose ``depth`` bytes from ``column`` on are another's too: sorts the bucket, and
-        compares neighbours."""
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        sizes = np.diff(np.concatenate([first, [len(of)]]))
+        base, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
+        index = np.arange(len(of)) - base
+        width = 1
+        while width < sizes.max(initial=0):
+            run = index // width
+            other = np.minimum((run ^ 1) * width, size)  # the run to merge with, in the group
+            low, high = other.copy(), np.minimum(other + width, size)
+            todo = np.flatnonzero(low < high)
+            while len(todo):
+                mid = (low[todo] + high[todo]) >> 1
+                before = self._less(of[base[todo] + mid], of[todo])
+                low[todo[before]] = mid[before] + 1
+                high[todo[~before]] = mid[~before]
+                todo = todo[low[todo] < high[todo]]
+            out = np.empty_like(of)
+            out[base + (run & ~1) * width + index - run * width + low - other] = of
+            of, width = out, 2 * width
+        return of
+
+    def buckets(self, of):
+        """Suffixes ``of`` in order, bucket by bucket: (positions, whether each has its first period in common with the
+        one before)."""
+        import numpy as np
+
+        of = of[np.argsort(self.words[of], kind="stable")]
+        cuts = np.concatenate([[0], np.flatnonzero(self.words[of[1:]] != self.words[of[:-1]]) + 1, [len(of)]])
+        at = 0
+        while at < len(of):
+            to = int(cuts[min(len(cuts) - 1, np.searchsorted(cuts, at + BUCKET))])
+            bucket, at = of[at:to], to
+            keys = self._first(bucket)
+            order = np.lexsort(keys)
+            alike = np.zeros(len(bucket), bool)
+            alike[1:] = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys])
+            bucket = bucket[order]
+            tied = alike.copy()
+            tied[:-1] |= alike[1:]
+            at_ties = np.flatnonzero(tied)
+            if len(at_ties):
+                bucket[at_ties] = self._merged(bucket[at_ties], np.cumsum(~alike)[at_ties])
+            yield bucket, alike
+
+    def repeated(self, of, depth: int):
+        """Those of the positions ``of`` whose ``depth`` bytes, which lie in one string, start at another of them too:
+        sorts them, and compares neighbours. ``depth`` is a period at least."""
         import numpy as np
 
-        if len(of) < 2:
-            return of[:0]
-        k = int(self.next[column])
-        end = self.columns[k] if k < len(self.columns) else self.width
-        if end > column:
-            order, fresh = self._sort(of, column, end, self.ranks[k])
-        else:
-            order = of[np.argsort(self.ranks[k][of], kind="stable")]
-            r = self.ranks[k][order]
-            fresh = np.concatenate([[0], (r[1:] != r[:-1]).astype(np.int64)])
-        same = fresh[1:] == 0  # alike to the end; of the others, the depth decides
-        open_ = np.flatnonzero(~same)
-        a, b = order[open_], order[open_ + 1]
-        for at in range(column, column + depth, 40):
-            to = min(at + 40, column + depth)
-            alike = (self.bytes[a, at:to] == self.bytes[b, at:to]).all(1)
-            open_, a, b = open_[alike], a[alike], b[alike]
-            if not len(open_):
-                break
-        same[open_] = True
-        hit = np.zeros(len(order), bool)
-        hit[:-1] |= same
-        hit[1:] |= same
-        return order[hit]
+        if depth < self.period:
+            raise ValueError(f"the depth is {self.period} at least")
+        found = [of[:0]]
+        for bucket, alike in self.buckets(of):
+            pair = np.flatnonzero(alike[1:])
+            for k in [*range(self.period, depth - 8, 8), depth - 8]:
+                pair = pair[self.words[bucket[pair] + k] == self.words[bucket[pair + 1] + k]]
+            hit = np.zeros(len(bucket), bool)
+            hit[pair] = hit[pair + 1] = True
+            found.append(bucket[hit])
+        return np.concatenate(found)

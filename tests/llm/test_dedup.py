@@ -27,25 +27,72 @@ def test_difference_cover(period):
     assert {(a - b) % period for a in c for b in c} == set(range(period))
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text("ab", min_size=150, max_size=150), min_size=1, max_size=12), st.integers(0, 60), st.integers(0, 5))
-def test_block_finds_repeats(rows, column, copies):
-    rows = rows + rows[:copies]
-    raw = np.frombuffer("".join(rows).encode(), np.uint8).reshape(-1, 150)
-    for depth in (1, 10, 64, 90):
-        block = X.Block(raw)
-        count = collections.Counter(r[column : column + depth] for r in rows)
-        got = sorted(block.repeated(column, np.arange(len(rows)), depth).tolist())
-        assert got == [k for k, r in enumerate(rows) if count[r[column : column + depth]] > 1]
-
-
-def test_cover_ranks_are_suffix_order():
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", min_size=70, max_size=150), min_size=1, max_size=12), st.integers(0, 5), st.sampled_from([8, 16, 64]))
+def test_block_finds_repeats(rows, copies, period):
+    raw = [x.encode() for x in rows + rows[:copies]]
+    block = X.Block(raw, period, tuple(X.difference_cover(period)))
+    for depth in (64, 67, 70):
+        places = [(k, i) for k, r in enumerate(raw) for i in range(len(r) - depth + 1)]
+        count = collections.Counter(raw[k][i : i + depth] for k, i in places)
+        got = block.repeated(np.array([block.starts[k] + i for k, i in places]), depth)
+        assert sorted(got.tolist()) == [block.starts[k] + i for k, i in places if count[raw[k][i : i + depth]] > 1]
+
+
+@pytest.mark.parametrize("bucket", [X.BUCKET, 50])
+def test_buckets_are_suffix_order_whatever_the_residues(monkeypatch, bucket):
+    monkeypatch.setattr(X, "BUCKET", bucket)
     r = random.Random(1)
-    rows = ["".join(r.choice("ab") for _ in range(100)) for _ in range(60)] + ["a" * 100] * 2
-    block = X.Block(np.frombuffer("".join(rows).encode(), np.uint8).reshape(-1, 100))
-    for k, c in enumerate(block.columns):
-        order = sorted({x[c:] for x in rows})
-        assert block.ranks[k].tolist() == [order.index(x[c:]) for x in rows]
+    rows = [("ab" * 100)[: r.randint(70, 200)].encode() for _ in range(30)] + ["".join(r.choice("ab") for _ in range(100)).encode() for _ in range(9)] + [b"a" * 200] * 3
+    block = X.Block(rows)
+    whole = b"".join(x + b"\xff" + k.to_bytes(5, "big") for k, x in enumerate(rows)) + b"\1"
+    places = np.array([block.starts[k] + i for k, x in enumerate(rows) for i in range(len(x))])
+    got = np.concatenate([p for p, _ in block.buckets(np.array(r.sample(places.tolist(), len(places))))])
+    assert got.tolist() == sorted(places.tolist(), key=lambda i: whole[i:])
+    sample = sorted(block.sample.tolist(), key=lambda i: whole[i:])
+    assert [block.ranks[i] for i in sample] == list(range(1, len(sample) + 1))
+
+
+def test_long_ties_need_the_cover(monkeypatch):
+    """Two equal stretches at different residues: without a shift that both share, ranks can't be compared."""
+    with pytest.raises(ValueError, match="difference cover"):
+        X.Block([b"x" * 100], cover=(0,))
+    rows = [b"q" * k + b"the same words again and again " * 12 + bytes([97 + k]) * 90 for k in range(5)]
+    whole = b"".join(x + b"\xff" + k.to_bytes(5, "big") for k, x in enumerate(rows)) + b"\1"
+
+    def wrong(block):
+        at = [int(s) + i for s, x in zip(block.starts, rows) for i in range(len(x) - 90)]
+        ties = [(i, j) for i in at for j in at if i != j and whole[i : i + X.PERIOD] == whole[j : j + X.PERIOD]]
+        assert len({(i - j) % X.PERIOD for i, j in ties}) > 10
+        less = block._less(*np.array(ties).T)
+        return sum(x != (whole[i:] < whole[j:]) for x, (i, j) in zip(less.tolist(), ties))
+
+    assert wrong(X.Block(rows)) == 0
+    # the same construction with a shift that takes only the first of the two to the sample
+    alone = np.repeat((-np.arange(X.PERIOD) % X.PERIOD)[:, None], X.PERIOD, 1)
+    monkeypatch.setattr(X, "shifts", lambda period, cover: alone)
+    assert wrong(X.Block(rows, cover=(0,))) > 0
+
+
+def test_passes_may_split_the_table_otherwise(spark, tmp_path, monkeypatch):
+    """The numbered table is read with other partitions in each pass, as after executors are lost."""
+    texts = removal_texts(6)
+    d = table(spark, tmp_path, list(enumerate(texts)))
+    plain = sorted(map(tuple, D.op4_blockwise_suffix_dedup(spark, d).collect()))
+    real, passes = D.repeats, []
+
+    def otherwise(docs):
+        found, read = real(docs.repartition(7, "text"))
+        passes.append(1)
+        return found, read
+
+    monkeypatch.setattr(D, "repeats", otherwise)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert sorted(map(tuple, D.op4_blockwise_suffix_dedup(spark, d).collect())) == plain and passes
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def brute_removal(texts):
