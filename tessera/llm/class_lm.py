@@ -2,15 +2,17 @@
 
 All training text is counted. Seeds: the ``CLUSTERED`` most frequent words are moved between ``CLASSES`` classes,
 one word at a time to the class that raises the likelihood of the class bigrams most, until no word moves (or
-``ROUNDS`` rounds); their bigram counts are one dense matrix of fixed size, summed over the corpus, in which the
-other words stand by rank. Then every other word of a count of ``LEAST_COUNT``, however many there are, goes to the
-class that raises the likelihood most: its counts of classes before and after it are summed up by Spark, sparse, and
-the words are dealt to tasks. Class bigrams are counted anew over all words. Words of a smaller count, and unseen
-ones, are one class; the end of a text is one.
+``ROUNDS`` rounds); their bigram counts are one dense matrix of fixed size, summed over the corpus. Then every other word of a
+count of ``LEAST_COUNT``, however many there are, goes to the class that raises the likelihood most. That gives each such word a
+class; ``EXCHANGES`` rounds of exchange follow, in which all of them, seeds too, are taken out of their class and put where they
+raise the likelihood of the class bigrams of the whole corpus most. For both, the counts of classes before and after each
+word are summed up by Spark, sparse, and the words are dealt to tasks; the words of a round move at once, each against the
+class bigrams of the round before (a word next to itself isn't counted in its own gain). Class bigrams are counted anew over
+all words. Words of a smaller count, and unseen ones, are one class; the end of a text is one.
 
     log P(text) = sum of log P(class | class before) + log P(word | class)
 
-Transitions are smoothed towards the class's share of all tokens. In the class of rare words each has its
+The perplexity of a text is ten to the power of minus its score a token. Transitions are smoothed towards the class's share of all tokens. In the class of rare words each has its
 count plus one, and all unseen words together have one; elsewhere emissions are relative counts.
 
 The ``FREQUENT`` most frequent words have ids in a dictionary that is sent to workers; that bounds memory, not the
@@ -37,6 +39,10 @@ FREQUENT = 200_000
 #: Words of a smaller count are rare at any rank: the class of rare words has mass for unseen ones only if it has words.
 LEAST_COUNT = 5
 CLUSTERED, CLASSES, ROUNDS = 1024, 64, 6
+#: Rounds of exchange over all words of the least count.
+EXCHANGES = 1
+#: Pairs of a word and a class beside it whose gains are worked out at once.
+PAIRS = 1 << 15
 #: Weight of a class's share of all tokens in the transition from any class, in tokens.
 SMOOTH = 50.0
 #: Words that a counting task holds before it passes them on.
@@ -192,25 +198,58 @@ def _bigrams(encoded: DataFrame, n_symbols: int, symbol_of) -> DataFrame:
     return encoded.where("not held_out").select("ids").mapInArrow(partial, schema).repartition(n, "row").mapInArrow(total, schema)
 
 
-def place(big, classes: int, after, before) -> int:
-    """The class, of the first ``classes``, in which a word raises the likelihood of the class bigrams most.
+def place_all(big, classes: int, owner, key, n, n_words: int, current=None):
+    """The class, of the first ``classes``, in which each word raises the likelihood of the class bigrams most.
 
-    ``after`` and ``before`` are the word's own counts as (classes, counts): of what follows it and what it follows.
+    Word ``owner`` (ascending) has ``n`` tokens of class ``key`` before it, or of class ``key - len(big)`` after it. ``current``: the
+    class that each word is taken out of first, and stays in if no other is better; -1 for none.
     """
     import numpy as np
 
     f = lambda x: np.where(x > 0.5, x * np.log(np.maximum(x, 1)), 0.0)
-    added = lambda old, more: (f(old + more) - f(old)).sum(1)
-    (a, n_a), (b, n_b) = after, before
-    gain = added(big[:classes, a], n_a) + added(big[b, :classes].T, n_b)
-    d = big[np.arange(classes), np.arange(classes)]
-    out, inn = np.zeros(len(big)), np.zeros(len(big))
-    out[a], inn[b] = n_a, n_b
-    out, inn = out[:classes], inn[:classes]
-    gain += f(d + out + inn) - f(d + out) - f(d + inn) + f(d)  # the cell of a class with itself was added to twice
-    left, right = big[:classes].sum(1), big[:, :classes].sum(0)
-    gain -= f(left + n_a.sum()) - f(left) + f(right + n_b.sum()) - f(right)
-    return int(np.argmax(gain))
+    k = len(big)
+    # what each word brings: counts (words, classes) of what is before and after it
+    both = np.bincount(owner * 2 * k + key, weights=n, minlength=2 * k * n_words).reshape(n_words, 2 * k)
+    inn, out = both[:, :k], both[:, k:]
+    t, w = np.arange(classes), np.arange(n_words)
+    of = np.full(n_words, -1) if current is None else np.asarray(current, np.int64)
+    has = np.flatnonzero(of >= 0)
+    gain = np.zeros((n_words, classes))
+    cells = np.concatenate([big[:, :classes], big[:classes].T])  # cells of each key with each class
+    for a in range(0, len(owner), PAIRS):
+        o, c, m = owner[a : a + PAIRS], key[a : a + PAIRS], n[a : a + PAIRS, None]
+        old = cells[c]
+        s = of[o]
+        own = s >= 0
+        old[np.flatnonzero(own), s[own]] -= n[a : a + PAIRS][own]
+        beside = np.flatnonzero(own & (c % k == s))  # the other side of the cell is the word's own class
+        old[beside] -= np.where((c[beside] < k)[:, None], out[o[beside], :classes], inn[o[beside], :classes])
+        old = np.maximum(old, 0)
+        added = f(old + m) - f(old)
+        first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+        np.add.at(gain, o[first], np.add.reduceat(added, first))
+    d = np.repeat(big[t, t][None], n_words, 0)
+    d[has, of[has]] -= inn[has, of[has]] + out[has, of[has]]
+    d = np.maximum(d, 0)
+    x, y = out[:, :classes], inn[:, :classes]
+    gain += f(d + x + y) - f(d + x) - f(d + y) + f(d)  # the cell of a class with itself was added to twice
+    for sums, more in ((big[:classes].sum(1), out.sum(1)), (big[:, :classes].sum(0), inn.sum(1))):
+        side = np.repeat(sums[None], n_words, 0)
+        side[has, of[has]] -= more[has]
+        side = np.maximum(side, 0)
+        gain -= f(side + more[:, None]) - f(side)
+    best = gain.argmax(1)
+    stays = has[gain[has, best[has]] <= gain[has, of[has]] + 1e-9]
+    best[stays] = of[stays]
+    return best
+
+
+def place(big, classes: int, after, before) -> int:
+    """``place_all`` of one word, whose counts are (classes, counts) of what follows it and what it follows."""
+    import numpy as np
+
+    key = np.concatenate([before[0], np.asarray(after[0]) + len(big)]).astype(np.int64)
+    return int(place_all(big, classes, np.zeros(len(key), np.int64), key, np.concatenate([before[1], after[1]]).astype(float), 1)[0])
 
 
 def _flat(raws: list):
@@ -223,7 +262,8 @@ def _flat(raws: list):
 
 
 def _contexts(encoded: DataFrame, k: int, n_seeds: int, n_classes: int, sent) -> DataFrame:
-    """(id, word, key, n): how often a class stands before (key < n_classes) or after each word that isn't a seed.
+    """(id, word, key, n): how often a class stands before (key < n_classes) or after each word that isn't a seed, and how
+    often the word itself stands before it (key = 2 * n_classes).
 
     Words of the dictionary have their id and no word, all others -1 and the word.
     """
@@ -233,7 +273,7 @@ def _contexts(encoded: DataFrame, k: int, n_seeds: int, n_classes: int, sent) ->
         import pyarrow as pa
 
         class_of = sent.value  # of each word of the dictionary, of other words, of the end
-        wide = 2 * n_classes
+        wide = 2 * n_classes + 1
 
         def summed(keys: list, counts: list):
             key, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -255,9 +295,13 @@ def _contexts(encoded: DataFrame, k: int, n_seeds: int, n_classes: int, sent) ->
             first[1:] = last[:-1] = text[1:] != text[:-1]
             end = class_of[k + 1]
             before, after = np.where(first, end, np.roll(c, 1)), np.where(last, end, np.roll(c, -1)) + n_classes
+            # a word beside itself tells nothing of where it belongs
+            same = (ids[1:] == ids[:-1]) & ~first[1:]
+            left, right = np.ones(len(ids), bool), np.ones(len(ids), bool)
+            left[1:], right[:-1] = ~same, ~same
             on = ids >= n_seeds
-            key = ids[on] * wide
-            u, times = np.unique(np.concatenate([key + before[on], key + after[on]]), return_counts=True)
+            key = ids * wide
+            u, times = np.unique(np.concatenate([(key + np.where(left, before, 2 * n_classes))[on], (key + after)[on & right]]), return_counts=True)
             keys.append(u)
             counts.append(times)
             held += len(u)
@@ -283,28 +327,49 @@ def _contexts(encoded: DataFrame, k: int, n_seeds: int, n_classes: int, sent) ->
 
 
 def _placed(contexts: DataFrame, classes: int, n_classes: int, sent, least: int = LEAST_COUNT) -> DataFrame:
-    """(id, word, c, class) of each word of ``contexts`` that has the least count."""
+    """(id, word, c, class) of each word of ``contexts`` that has the least count. ``sent``: class bigrams, and the class that
+    each word of the dictionary is in (-1 for none)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        big = sent.value
+        big, current = sent.value
         for b in batches:
-            out = []
-            for pairs in b.column(3).to_pylist():
-                key, n = np.array([p["key"] for p in pairs], np.int64), np.array([p["n"] for p in pairs], np.float64)
-                order = np.argsort(key)
-                key, n = key[order], n[order]
-                before = key < n_classes
-                out.append(place(big, classes, (key[~before] - n_classes, n[~before]), (key[before], n[before])))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.int32())], ["id", "word", "c", "class"])
-
-    c = F.sum(F.when(F.col("key") < n_classes, F.col("n")).otherwise(0)).alias("c")
+            lists = b.column(3)
+            flat, sizes = lists.flatten(), np.array(lists.value_lengths(), np.int64)
+            key, n = flat.field("key").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(float)
+            id_ = b.column(0).to_numpy()
+            of = np.where(id_ >= 0, current[np.maximum(id_, 0)], -1) if len(current) else np.full(len(id_), -1)
+            beside = key < 2 * len(big)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            found = place_all(big, classes, owner[beside], key[beside], n[beside], len(sizes), of)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.int32())], ["id", "word", "c", "class"])
+
+    c = F.sum(F.when((F.col("key") < n_classes) | (F.col("key") == 2 * n_classes), F.col("n")).otherwise(0)).alias("c")
     whole = contexts.groupBy("id", "word").agg(c, F.collect_list(F.struct("key", "n")).alias("pairs")).where(F.col("c") >= least)
     return whole.mapInArrow(run, "id long, word binary, c long, class int")
 
 
+def _coded(encoded: DataFrame, classes_of) -> DataFrame:
+    """(classes, held_out) of texts: the classes of their words as 16-bit integers, by ids."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        class_of = classes_of.value
+        k = len(class_of) - 2
+        for b in batches:
+            out = []
+            for raw in b.column(0).to_pylist():
+                ids = np.frombuffer(raw, "<i4")
+                out.append(class_of[np.where(ids < 0, k, ids)].astype("<i2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column(1)], ["classes", "held_out"])
+
+    return encoded.where("not held_out").select("ids", "held_out").mapInArrow(run, "classes binary, held_out boolean")
+
+
 def _class_bigrams(classed: DataFrame, n_classes: int):
     """Class bigrams of the training texts, summed."""
     import numpy as np
@@ -327,8 +392,8 @@ def _class_bigrams(classed: DataFrame, n_classes: int):
     return m.reshape(n_classes, n_classes)
 
 
-def score(docs: DataFrame, frequent: int = FREQUENT, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
-    """Learns from the rows of ``docs`` that aren't held out, and scores all."""
+def score(docs: DataFrame, frequent: int = FREQUENT, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS, exchanges: int = EXCHANGES) -> DataFrame:
+    """Learns from the rows of ``docs`` that aren't held out, and scores all: the contract's columns, and ``perplexity``."""
     import numpy as np
 
     spark = docs.sparkSession
@@ -381,12 +446,21 @@ def score(docs: DataFrame, frequent: int = FREQUENT, clustered: int = CLUSTERED,
     of, big = exchange(matrix, clustered, classes, [classes + j for j in range(len(bounds) + 2)], rounds)
     # all words of the least count that aren't seeds, each to the class of the greatest gain
     contexts = _contexts(encoded, k, clustered, len(big), spark.sparkContext.broadcast(of[symbol_of]))
-    placed = common.materialised(_placed(contexts, classes, len(big), spark.sparkContext.broadcast(big.astype(np.float64))), "placed")
+    placed = common.materialised(_placed(contexts, classes, len(big), spark.sparkContext.broadcast((big.astype(np.float64), np.zeros(0, np.int64)))), "placed")
     n_classes = classes + 2  # then rare words, the end
-    class_of = np.full(k, classes, np.int64)
-    class_of[:clustered] = of[:clustered]
+    class_of = np.concatenate([of[:clustered], np.full(k - clustered, classes), [classes, classes + 1]]).astype(np.int64)
     for r in placed.where("id >= 0").select("id", "class").collect():
         class_of[r["id"]] = r["class"]
+    # and all of them, each from where it is; those outside the dictionary are rare words to their neighbours
+    for _ in range(exchanges):
+        sent_classes = spark.sparkContext.broadcast(class_of)
+        big = _class_bigrams(_coded(encoded, sent_classes), n_classes).astype(np.float64)
+        contexts = _contexts(encoded, k, 0, n_classes, sent_classes)
+        before, placed = placed, common.materialised(_placed(contexts, classes, n_classes, spark.sparkContext.broadcast((big, class_of[:k]))), "placed")
+        common.discard(before)
+        for r in placed.where("id >= 0").select("id", "class").collect():
+            class_of[r["id"]] = r["class"]
+    class_of = class_of[:k]
     size = np.bincount(class_of, weights=count, minlength=n_classes)
     more, n_more = 0, 0
     for r in placed.where("id < 0").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
@@ -454,9 +528,14 @@ def score(docs: DataFrame, frequent: int = FREQUENT, clustered: int = CLUSTERED,
                 c = np.concatenate([[end], np.frombuffer(raw, "<i2"), [end]]).astype(np.int64)
                 out.append(float(move[c[:-1], c[1:]].sum()) + e)
             n = pa.array([n_train] * len(out), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], n, b.column(4), pa.array(out, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            score = np.array(out, float)
+            perplexity = 10 ** (-score / b.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:4], n, b.column(4), pa.array(score), pa.array(perplexity)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
+            )
 
-    return classed.mapInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rated = classed.mapInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return common.reads(rated, classed)
 
 
 def op3_class_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

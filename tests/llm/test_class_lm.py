@@ -149,3 +149,40 @@ def test_place_is_the_best_class():
 
     got = L.place(big.astype(float), 4, (np.arange(6), out.astype(float)), (np.arange(6), inn.astype(float)))
     assert got == max(range(4), key=value)
+
+
+def test_exchange_of_all_words_is_the_best_single_move():
+    """Against the likelihood itself, of a word taken out of its class; no word is beside itself."""
+    rng = np.random.default_rng(7)
+    n, k = 14, 5
+    for _ in range(20):
+        m = rng.poisson(rng.gamma(0.4, 4.0, (n, n)))
+        np.fill_diagonal(m, 0)
+        of = rng.integers(0, k, n)
+        of[-1] = k  # the end
+        big = np.zeros((k + 1, k + 1))
+        np.add.at(big, (of[:, None], of[None]), m)
+        owner, key, times = [], [], []
+        for w in range(n - 1):
+            for c in range(k + 1):
+                for j, got in ((c, m[of == c, w].sum()), (c + k + 1, m[w, of == c].sum())):
+                    if got:
+                        owner.append(w), key.append(j), times.append(got)
+        got = L.place_all(big, k, np.array(owner), np.array(key), np.array(times, float), n - 1, of[:-1])
+        for w in range(n - 1):
+            moved = lambda c: [*of[:w].tolist(), c, *of[w + 1 :].tolist()]  # noqa: E731, B023
+            assert likelihood(m, moved(int(got[w]))) >= max(likelihood(m, moved(c)) for c in range(k)) - 1e-6
+
+
+def test_exchange_moves_words_of_any_rank_and_lowers_perplexity(spark, tmp_path):
+    """2,400 words of two kinds that take turns, of which 1,024 are seeds, and four in five of the others start elsewhere."""
+    r = random.Random(9)
+    words = [[f"{x}{k}" for k in range(1200)] for x in "nv"]
+    texts = [" ".join(r.choice(words[j % 2]) for j in range(r.randint(2, 60))) for _ in range(1500)]
+    df = spark.read.parquet(table(spark, tmp_path, list(enumerate(texts))) + "/documents.parquet")
+    mean = {}
+    for n in (0, 2):
+        got = [x for x in L.score(df, classes=4, rounds=1, exchanges=n).collect() if x.held_out]
+        assert all(abs(x.perplexity - 10 ** (-x.score / x.n_tokens)) <= 1e-6 * x.perplexity for x in got)
+        mean[n] = sum(x.score for x in got) / sum(x.n_tokens for x in got)
+    assert mean[2] >= mean[0]
