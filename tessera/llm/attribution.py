@@ -6,11 +6,12 @@ boundary is counted once, by an explicit rule: ``start`` gives it to the section
 character, ``end`` to that of its last, ``most`` to the section that holds most of its characters (the
 earlier of equals). So sections always add up to the document.
 
-Sections are lines, a line end belonging to the line that it ends, unless a column names the edges.
+Sections are lines, a line end belonging to the line that it ends, unless a column names the edges: then the text is cut
+at those that lie in it, and where none does (or the array is empty) it is one section.
 
-Defined cases: null or empty text is one empty section without tokens; a token without characters of
+Defined cases: null or empty text is one empty section without tokens; a null doc_id is kept; null edges are lines; a token without characters of
 its own (part of a character's bytes) counts where that character is; repeated rows give repeated
-results; other columns are ignored; texts of any length are encoded whole.
+results; an empty table gives no rows; other columns, whatever their names, are ignored; texts of any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -41,6 +42,14 @@ def line_edges(text: bytes):
     return edges[:-1] if len(edges) > 2 and edges[-1] == edges[-2] else edges
 
 
+def given_edges(own: list, n: int):
+    """Edges of the sections that a text of n code points is cut into at the places given, in any order: sections cover the
+    text, so 0 and its length are edges too, and what is outside or null is left out."""
+    import numpy as np
+
+    return np.array(sorted({0, n, *(x for x in own if x is not None and 0 < x < n)}) if n else [0, 0], np.int64)
+
+
 def allocate(starts, ends, edges, rule: str):
     """Tokens of each section; spans are half open, edges sorted."""
     import numpy as np
@@ -102,9 +111,10 @@ def spans(chunks: list[bytes]):
 
 
 def token_counts(docs: DataFrame, tokenizer: str, rule: str = "start", edges: str | None = None) -> DataFrame:
-    """One row for each section of each document. ``edges``: a column of sorted section edges (array of long)."""
+    """One row for each section of each document. ``edges``: a column of section edges (array of long)."""
     if rule not in RULES:
         raise ValueError(f"the rule is one of {RULES}")
+    limit = common.cached_chunks(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -113,13 +123,13 @@ def token_counts(docs: DataFrame, tokenizer: str, rule: str = "start", edges: st
         c = _KEPT.get(tokenizer)
         if c is None:
             t = load(tokenizer)
-            c = _KEPT[tokenizer] = Chunked(chunk_spans(t), [x.content for x in t.get_added_tokens_decoder().values()], limit=1_000_000)
+            c = _KEPT[tokenizer] = Chunked(chunk_spans(t), [x.content for x in t.get_added_tokens_decoder().values()], limit)
         for b in batches:
             texts = utf8(b.column(1))
             given = b.column(2).to_pylist() if edges else [None] * len(texts)
             doc, section, start, end, n = [], [], [], [], []
             for d, text, own, values in zip(b.column(0).to_pylist(), texts, given, c.look_up([c.pieces(x) if x else [] for x in texts], c.plain)):
-                cuts = line_edges(text) if not own or len(own) < 2 else np.array(own, np.int64)
+                cuts = line_edges(text) if own is None else given_edges(own, len(text.decode()))
                 s, e = spans(values) if values else (np.zeros(0, np.int64),) * 2
                 k = len(cuts) - 1
                 doc.append([d] * k)

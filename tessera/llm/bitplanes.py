@@ -7,8 +7,9 @@ its id and number of tokens. A reader can fetch any block alone.
 
 Layout: magic, planes of block 0, planes of block 1, ..., index (zstandard), its size (8 bytes), magic.
 
-Defined cases: null text is an empty text, which has the end id alone; equal doc_ids keep their rows,
-in the order of the sort; a null doc_id sorts first and is kept; an empty table writes no file.
+Defined cases: null text is an empty text, which has the end id alone; rows of equal doc_ids keep their own ids, in
+the order of a hash of their texts (so a task that runs again writes the same file); a null doc_id sorts first and is kept; texts of any
+length are encoded whole; an empty table writes no file; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,11 +128,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     for each file: (part, path, n_docs, n_tokens), in order; as many as tasks.
     """
 
+    limit = common.cached_chunks(docs.sparkSession)
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, end = word_ids(tokenizer), end_id.to_bytes(4, "little")
+        encode, end = word_ids(tokenizer, limit), end_id.to_bytes(4, "little")
         task = TaskContext.get()
         part, fs, w = task.partitionId(), None, None
         for b in batches:
@@ -150,7 +153,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"{folder}/part-{part:06d}.planes"]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], ["part", "path", "n_docs", "n_tokens"])
 
     common.tune(docs.sparkSession)
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # a hash of the text parts rows of one doc_id, however many, and orders them
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     return sorted(rows.mapInArrow(run, "part long, path string, n_docs long, n_tokens long").collect())
 
 
@@ -193,7 +197,9 @@ def _read(spark: SparkSession, files: list, last, schema: str) -> DataFrame:
 
 def op1_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's place, length and checksum, from the files that were written."""
-    files = write_tokens(common.documents(spark, sf_dir), common.shared_folder(spark, "planes"), common.tokenizer_path("word_bpe_49k.json"))
+    folder = common.shared_folder(spark, "planes")
+    files = write_tokens(common.documents(spark, sf_dir), folder, common.tokenizer_path("word_bpe_49k.json"))
+    common.temporary(spark, folder)
     return _read(spark, files, zlib.crc32, "ids_crc32 long").select("doc_id", "start", "n_tokens", F.col("ids_crc32"))
 
 

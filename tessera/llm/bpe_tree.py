@@ -253,13 +253,15 @@ _KEPT: dict[str, Chunked] = {}
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Digests of each text's ids and of what they decode to."""
 
+    limit = common.cached_chunks(docs.sparkSession)
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         c = _KEPT.get(tokenizer)
         if c is None:
             bpe = TreeBpe(tokenizer)
-            c = _KEPT[tokenizer] = Chunked(bpe.values, bpe.special, limit=1_200_000)
+            c = _KEPT[tokenizer] = Chunked(bpe.values, bpe.special, limit)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             n, ids, decoded = [], [], []

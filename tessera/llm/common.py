@@ -11,13 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch; bounds what a Python worker holds at once.
 BATCH_ROWS = 1000
+#: Megabytes of encoded chunks in a Python worker, where no setting says otherwise.
+CACHE_MB = 300
 #: Bytes of a row group of what is written for later steps; a writing task buffers one.
 ROW_GROUP = 16 << 20
 
 
 def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Small Arrow batches: texts are long, and a batch is held whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Small Arrow batches: texts are long, and a batch is held whole.
+
+    Frames are computed after the operator has returned, so this stays in the session. A value that the session has set
+    already, other than by this function, is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = getattr(spark, "_tessera_rows", None)
+    if spark.conf.get(name, None) in (None, own):
+        spark.conf.set(name, str(rows))
+        spark._tessera_rows = str(rows)
+
+
+def cached_chunks(spark: SparkSession) -> int:
+    """Chunks of text that a Python worker keeps encoded, about 256 bytes each, by the setting
+    ``spark.tessera.chunkCacheMb``: megabytes for each worker, of which an executor has one for each core. More take memory,
+    fewer take time; results are the same."""
+    return max(1, int(spark.conf.get("spark.tessera.chunkCacheMb", str(CACHE_MB)))) << 12
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,30 +44,50 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new path (URI) in the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it; where that is unset (tests, one machine) a temporary folder
-    is made and kept for the session.
+    ``spark.checkpoint.dir`` names it. Where that is unset and the master is local (tests, one machine) a temporary
+    folder is made for the session; on a cluster that is an error, as driver and executors have disks of their own.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_tessera_shared", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark._tessera_shared = root
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def _hadoop_path(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def temporary(spark: SparkSession, uri: str) -> None:
+    """What was written to ``uri`` goes when the session's driver ends, if nothing has deleted it before."""
+    path, fs = _hadoop_path(spark, uri)
+    fs.deleteOnExit(path)
+
+
 def materialised(df: DataFrame, kind: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage, and lost
-    executors cost nothing that was computed before."""
+    executors cost nothing that was computed before. Tables that ``df`` names as its own (``reads``) are deleted then."""
     spark = df.sparkSession
     path = shared_folder(spark, kind)
     with clean_shuffles(spark):
         df.write.option("compression", compression).option("parquet.block.size", ROW_GROUP).parquet(path)
+    temporary(spark, path)
+    for old in getattr(df, "_tessera_reads", ()):
+        discard(old)
     made = spark.read.schema(df.schema).parquet(path)
     made._tessera_path = path
     return made
 
 
+def reads(df: DataFrame, *made: DataFrame) -> DataFrame:
+    """Notes that ``df`` reads these intermediate tables, and nothing else does."""
+    df._tessera_reads = (*getattr(df, "_tessera_reads", ()), *made)
+    return df
+
+
 @contextlib.contextmanager
 def clean_shuffles(spark: SparkSession):
     """Shuffle files of what runs inside go when it ends, not when the driver happens to collect garbage."""
@@ -71,9 +108,8 @@ def clean_shuffles(spark: SparkSession):
 
 def discard(made: DataFrame) -> None:
     """Delete what ``materialised`` wrote, when nothing will read it again."""
-    spark = made.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(made._tessera_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, fs = _hadoop_path(made.sparkSession, made._tessera_path)
+    fs.delete(path, True)
 
 
 def filesystem(uri: str):

@@ -37,15 +37,16 @@ def _sum(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(u, v): for each node that isn't the smallest of its component, that smallest node."""
-    edges = common.materialised(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    read = getattr(edges, "_tessera_reads", ())
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = common.materialised(common.reads(edges, *read), "edges")
     before = _sum(edges)
     for _ in range(most):
         if not before[0]:
             return edges
         made = [edges]
-        edges = common.materialised(_star(_star(edges, True, made), False, made), "edges")
-        for old in made:
-            common.discard(old)
+        edges = _star(_star(edges, True, made), False, made)
+        edges = common.materialised(common.reads(edges, *made), "edges")
         now = _sum(edges)
         if now == before:
             return edges

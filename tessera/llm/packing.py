@@ -2,12 +2,13 @@
 
 A worker keeps at most ``open_bins`` open sequences. Their free space is a key into a bitset (one
 bit for each number of free tokens), so the tightest open sequence that takes a piece is the lowest
-set bit at or above the piece's length. When one sequence too many is open, the fullest closes first. Of
-``LOOK_AHEAD`` pieces at a time the longest are placed first; that leaves a tenth of the empty space of plain arrival order.
+set bit at or above the piece's length. When one sequence too many is open, the fullest closes first. Pieces are placed
+as they arrive, each once and for good.
 
-Defined cases: null text is an empty text (one piece that holds the end id alone); a text of more
-than ``capacity`` tokens is cut into full pieces, the first of which may be shorter; repeated rows
-are packed as often as they come; an empty table gives no rows; other columns are ignored.
+Defined cases: null text is an empty text (one piece that holds the end id alone); a null doc_id is kept; a text of more
+than ``capacity`` tokens, however long, is cut into full pieces, the first of which may be shorter; repeated rows
+are packed as often as they come; an empty table gives no rows; other columns are ignored by ``pieces`` and kept by
+``pack``, but those named ``sequence_id`` and ``offset`` are replaced.
 """
 
 from __future__ import annotations
@@ -22,11 +23,8 @@ from .chunks import byte_ids, utf8
 
 CAPACITY = 2048
 OPEN_BINS = 1024
-LOOK_AHEAD = 2048
 #: Texts in one Arrow batch; their chunks are in memory together.
 TEXT_ROWS = 500
-#: Chunks that a worker keeps encoded. More take memory, fewer take time.
-CACHED = 1_400_000
 #: Pieces that one task packs, about.
 TASK_PIECES = 60_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -78,8 +76,9 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, cached: int = CACHED) -> DataFrame:
-    """Token pieces of every text, ``end_id`` appended. ``cached``: chunks that a worker keeps encoded, about 250 bytes each."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, cached: int | None = None) -> DataFrame:
+    """Token pieces of every text, ``end_id`` appended. ``cached``: chunks that a worker keeps encoded, by ``common.cached_chunks`` if not given."""
+    cached = cached or common.cached_chunks(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -108,9 +107,9 @@ def pack(of: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, ta
     """
     from pyspark.sql import types as T
 
+    of = of.drop("sequence_id", "offset")
     n = of.count()
     of = of.coalesce(max(1, -(-n // task_pieces)))
-    common.tune(of.sparkSession, 2 * LOOK_AHEAD)
     at = of.columns.index("length")
     schema = T.StructType([*of.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
@@ -121,11 +120,7 @@ def pack(of: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, ta
         base = TaskContext.get().partitionId() << 36
         fit = BestFit(capacity, open_bins)
         for b in batches:
-            lengths = b.column(at).to_pylist()
-            places: list = [None] * len(lengths)
-            for k in range(0, len(lengths), LOOK_AHEAD):
-                for i in sorted(range(k, min(k + LOOK_AHEAD, len(lengths))), key=lengths.__getitem__, reverse=True):
-                    places[i] = fit.place(lengths[i])
+            places = [fit.place(n) for n in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([base + p for p, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64())], [*b.schema.names, "sequence_id", "offset"]
             )
@@ -133,9 +128,10 @@ def pack(of: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, ta
     return of.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, cached: int = CACHED) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, cached: int | None = None) -> DataFrame:
     """Pieces are written to the shared folder first, so that packing is one light pass over them."""
-    return pack(common.materialised(pieces(docs, tokenizer, end_id, capacity, cached), "pieces"), capacity, open_bins)
+    made = common.materialised(pieces(docs, tokenizer, end_id, capacity, cached), "pieces")
+    return common.reads(pack(made, capacity, open_bins), made)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ some hash repeats are the hashes sorted, the windows with an equal hash compared
 that they cover counted.
 
 Defined cases: a null text has no words (so it fails ``few_words``); a null doc_id is kept; empty
-tables give empty results; repeated rows are judged each; very long texts are judged whole. Columns of
-the input that the ledger also makes are replaced.
+tables give empty results; repeated rows are judged each; very long texts are judged whole. Other columns are kept, whatever
+their names; those of the input that the ledger also makes are replaced.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Bits of a key that hold the place of a window; the others hold its hash.
-PLACE_BITS = 26
+#: Bits of a key that hold the place of a window, which no array exceeds; the others hold its hash.
+PLACE_BITS = 31
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 #: Rule: (bit, what makes a document fail, over the measurements; the same text is Spark SQL and ANSI SQL).
@@ -47,10 +47,10 @@ CURRENT = "v2"
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the measurements to every row."""
-    own = docs.columns
-    keep = [F.col(f"`{c}`") for c in own if c not in MEASURES]
+    keep = [F.col(f"row.`{c}`") for c in docs.columns if c not in MEASURES]
     low = (1 << PLACE_BITS) - 1
-    t = docs.select(*keep, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t"))
+    # the input's columns travel inside one, so that no name clashes
+    t = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t"))
     packed = t.withColumn("__packed", F.translate("__t", " \t\n\x0b\x0c\r", ""))
     words = packed.withColumn("__w", F.filter(F.split("__t", SPACE), lambda w: w != ""))
     words = words.withColumn("__lines", F.filter(F.split("__t", "\n"), lambda x: x.rlike(WORD)))

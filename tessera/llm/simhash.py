@@ -10,7 +10,7 @@ so that blocks of unlike ones stay small at any size. With
 ``minima`` (large radius) blocks are bands of the least shingle hashes; with the eight bands of the default, texts of
 similarity 0.8 share one with a probability of 0.997. ``deduplicate`` takes more bands and a wider radius for candidates,
 and links those whose sets of shingles have a similarity of 0.8 at least. Equal fingerprints are one node before anything is compared, and a
-block of more than ``TILE_ROWS`` nodes is dealt out as pairs of parts, so one task never has it whole.
+block of more than ``TILE_ROWS`` nodes is dealt out in parts that share pivots, so one task never has it whole.
 
 How: 64 fingerprints of a block stand side by side as bit planes, a word for each bit position. Against a
 fingerprint, each plane gives one bit of difference for 64 pairs at once; carry-save adders count eight
@@ -19,10 +19,10 @@ exceed the radius are abandoned. A task links what it finds locally and emits on
 most, never all pairs.
 
 Defined cases: null and empty texts (and those of white space) have fingerprint zero and are linked like
-any other; a text of fewer words than a shingle is one shingle; equal doc_ids are one document; a row
-with a null doc_id takes part, and its component is the smallest doc_id it reaches, null if there is
-none; very long texts are hashed whole; empty tables give no rows; other columns are ignored by
-``near_duplicates`` and kept by ``deduplicate``.
+any other; a text of fewer words than a shingle is one shingle; rows of equal doc_ids are documents of their own, each with
+the component of its own text; a row with a null doc_id takes part, and its component is the smallest doc_id it reaches,
+null if there is none; very long texts are hashed whole; empty tables give no rows; other columns, whatever their names, are
+ignored by ``near_duplicates`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -38,13 +38,14 @@ from .chunks import utf8
 from .components import components
 
 SEED = 42
-#: Nodes of a block that one task takes; larger blocks are dealt out as pairs of parts of half as many.
+#: Nodes of a block that one task takes; larger blocks are dealt out in parts of half as many.
 TILE_ROWS = 2048
 #: Fingerprints in a block of segments, on average, if bits are even.
 BLOCK_MEAN = 256
 #: Tiles compared at once.
 TILES = 1 << 14
-ANONYMOUS = 1 << 62
+#: Nodes of a large block that meet every part of it, about.
+PIVOTS = 512
 #: Odd multipliers that make further words of a fingerprint from a shingle's hash (fixed values of splitmix64).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 BANDS, BAND_ROWS = 8, 3
@@ -382,40 +383,66 @@ def links(nodes: DataFrame, words: int, radius: int, minima: bool) -> DataFrame:
 
 
 def _link_keyed(rows: DataFrame, words: int, radius: int, size: int | None = None) -> DataFrame:
-    """Edges between rows (fp, node, key, and text with ``size``) of one key; large keys are dealt out."""
-    text = () if size is None else ("text",)
+    """Edges between rows (fp, node, key, and text with ``size``) of one key.
+
+    A key of more than ``TILE_ROWS`` nodes is dealt into parts, and about ``PIVOTS`` of its nodes go to each part. That
+    links most nodes of a group of like ones, through those, to one set; nothing inside it needs comparing any more. What
+    is left meets all parts, so no link is lost, and the rows that are dealt out grow with the nodes and those left over.
+    """
     half = TILE_ROWS // 2
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = common.materialised(sizes.select("key", F.when(F.col("n") > TILE_ROWS, F.ceil(F.col("n") / half)).otherwise(1).cast("int").alias("parts")), "blocks")
-    dealt = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    # part i meets every part j: once in block (i, j) for i <= j
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = dealt.withColumn("other", other)
-    block = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
-    dealt = dealt.select(block.alias("block"), "fp", "node", *text)
+    own = ["fp", "node", *(() if size is None else ("text",))]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _link_blocks(dealt.repartition(n, "block").sortWithinPartitions("block", "node"), words, radius, size)
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        return _link_blocks(dealt.select("block", *own).repartition(n, "block").sortWithinPartitions("block", "node"), words, radius, size)
+
+    def part(salt: int, parts: str):
+        return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(parts)).cast("int")
+
+    def all_of(parts: str):
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = common.materialised(sizes.select("key", "n", F.when(F.col("n") > TILE_ROWS, F.ceil(F.col("n") / half)).otherwise(1).cast("int").alias("parts")), "blocks")
+    edges = linked(rows.join(sizes.where("parts = 1").select("key"), "key").withColumn("block", F.col("key")))
+    large = sizes.where("parts > 1")
+    if large.isEmpty():
+        return common.reads(edges, sizes)
+    large = rows.join(large, "key")
+    pivot = F.pmod(F.xxhash64("node", F.lit(2)), F.col("n")) < PIVOTS
+    large = large.withColumn("own", part(1, "parts"))
+    first = large.withColumn("part", F.col("own")).unionByName(large.where(pivot).withColumn("part", all_of("parts")).where("part <> own"))
+    near = common.materialised(linked(first.withColumn("block", F.xxhash64("key", "part"))), "near")
+    roots = components(near)
+    labelled = large.select("key", "node").join(roots.toDF("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("k"))
+    most = counts.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("most"), (F.sum("k") - F.max("k")).alias("left")).where("left > 0")
+    most = common.materialised(most.select("key", "most", F.ceil(F.col("left") / half).cast("int").alias("chunks")), "most")
+    # those outside the largest set, in chunks, meet every part
+    left = labelled.join(most, "key").where("label <> most").select("key", "node")
+    every = large.join(most.select("key", "chunks"), "key")
+    asked = every.join(left, ["key", "node"]).withColumn("chunk", part(3, "chunks")).withColumn("part", all_of("parts")).where("part <> own")
+    asked = asked.unionByName(every.withColumn("chunk", all_of("chunks")).withColumn("part", F.col("own")))
+    return common.reads(edges.union(near).union(linked(asked.withColumn("block", F.xxhash64("key", "part", "chunk")))), sizes, near, roots, most)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, words: int = 1, radius: int = 4, minima: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     found = common.materialised(fingerprints(docs, size, words, minima), "fingerprints")
-    least = F.coalesce(F.min("doc_id"), F.lit(ANONYMOUS).bitwiseOR(F.xxhash64("fp").bitwiseAND(F.lit(ANONYMOUS - 1))))
-    # texts of one fingerprint that have different least hashes are nodes of their own
+    # texts of one fingerprint that have different least hashes are nodes of their own; nodes are numbered as they are written
     by = ["fp", "keys"] if minima else ["fp"]
-    nodes = found.groupBy(*by).agg(least.alias("node"))
-    nodes = common.materialised(nodes.select("fp", "node", F.col("keys") if minima else F.array().cast("array<long>").alias("keys")), "nodes")
+    nodes = found.groupBy(*by).agg(F.min("doc_id").alias("least"))
+    nodes = nodes.select("fp", F.monotonically_increasing_id().alias("node"), "least", F.col("keys") if minima else F.array().cast("array<long>").alias("keys"))
+    nodes = common.materialised(nodes, "nodes")
     edges = links(nodes, words, radius, minima)
     if minima:  # equal fingerprints are linked whatever their blocks
         alike = nodes.groupBy("fp").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
-        edges = edges.unionByName(nodes.join(alike.select("fp", "v"), "fp").select(F.col("node").alias("u"), "v"))
+        edges = common.reads(edges.unionByName(nodes.join(alike.select("fp", "v"), "fp").select(F.col("node").alias("u"), "v")), *edges._tessera_reads)
     roots = components(edges)
-    of = nodes.join(roots.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left")
-    of = of.groupBy("fp").agg(F.min(F.coalesce("root", "node")).alias("root"))
-    of = common.materialised(of.select("fp", F.when(F.col("root") < ANONYMOUS, F.col("root")).alias("component_id")), "roots")
-    common.discard(nodes)
-    common.discard(roots)
-    return found.select("doc_id", "fp").join(of, "fp").select("doc_id", "fp", "component_id")
+    of = nodes.join(roots.toDF("node", "root"), "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    of = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").groupBy("fp").agg(F.first("component_id").alias("component_id"))
+    of = common.materialised(common.reads(of, nodes, roots), "roots")
+    return common.reads(found.select("doc_id", "fp").join(of, "fp").select("doc_id", "fp", "component_id"), found, of)
 
 
 #: For the pipeline: words of a fingerprint, and the most bits in which candidates differ. Texts that have a share of
@@ -459,20 +486,19 @@ def deduplicate(docs: DataFrame, size: int = 5, words: int = WIDE_WORDS, radius:
     whole = common.materialised(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "rows")
     found = common.materialised(_sets(whole.select("row", "doc.text"), size, words), "sets")
     nodes = common.materialised(found.groupBy("digest").agg(F.min("row").alias("node"), F.min_by("fp", "row").alias("fp"), F.min_by("keys", "row").alias("keys")), "nodes")
-    near = components(links(nodes, words, radius, True))
+    close = components(links(nodes, words, radius, True))
     # candidates with the least node of their component, itself included
-    near = near.union(near.select("v", "v").distinct()).toDF("node", "key")
+    near = close.union(close.select("v", "v").distinct()).toDF("node", "key")
     texts = nodes.select("node", "fp").join(near, "node").join(whole.select(F.col("row").alias("node"), "doc.text"), "node")
+    texts = common.materialised(common.reads(texts, close), "texts")
     roots = components(_link_keyed(texts.select("fp", "node", "key", "text"), words, radius, size))
     of = nodes.select("digest", "node").join(roots.toDF("node", "root"), "node", "left").select("digest", F.coalesce("root", "node").alias("group"))
     grouped = found.select("row", F.coalesce("digest", F.lit(b"")).alias("d")).join(of.select(F.coalesce("digest", F.lit(b"")).alias("d"), "group"), "d")
     ranked = grouped.join(whole.select("row", "doc.doc_id"), "row").select("group", "d", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row").alias("r"))
     stay = ranked.groupBy("group").agg(F.min("r").alias("r")).select("r.row")
     bare = ranked.where((F.octet_length("d") == 0) & F.col("r.unnamed")).select("r.row")
-    stay = common.materialised(stay.union(bare).distinct(), "stay")
-    for old in (found, nodes):
-        common.discard(old)
-    return whole.join(stay, "row", "left_semi").select("doc.*")
+    stay = common.materialised(common.reads(stay.union(bare).distinct(), found, nodes, texts, roots), "stay")
+    return common.reads(whole.join(stay, "row", "left_semi").select("doc.*"), whole, stay)
 
 
 def op5_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,7 +307,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     found = common.materialised(found, "repeats")
     for old in read:
         common.discard(old)
-    return docs.join(found, "uid", "left")
+    return common.reads(docs.join(found, "uid", "left"), docs, found)
 
 
 def op4_blockwise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,8 +355,9 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     # the other columns travel as one, whatever their names
     others = [f"`{c}`" for c in docs.columns if c != text]
     packed = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(*others, F.lit(0).alias("__")).alias("row"))
-    found = _joined(packed).select("text", "a", "row").mapInArrow(run, packed.schema)
-    return found.select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))
+    joined = _joined(packed)
+    found = joined.select("text", "a", "row").mapInArrow(run, packed.schema)
+    return common.reads(found.select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns)), *joined._tessera_reads)
 
 
 QUERIES = {"op4_blockwise_suffix_dedup": op4_blockwise_suffix_dedup}

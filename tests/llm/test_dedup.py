@@ -350,3 +350,110 @@ def test_deduplicate_keeps_one_row_of_null_or_repeated_ids(spark):
     got = [(r.doc_id, r.text) for r in H.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     want = [(1, text(1)), (2, text(2)), (None, text(3)), (4, text(4)), (4, text(5)), (None, text(6))]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_rows_of_one_doc_id_and_ids_of_any_size(spark, tmp_path):
+    """Ids that several texts share don't link them, and no id is too large."""
+    texts = ["alpha beta gamma delta epsilon zeta", "one two three four five six seven"]
+    big = 2**63 - 5
+    rows = [(1, texts[0]), (5, texts[0]), (2, texts[1]), (5, texts[1]), (5, "of its own kind indeed so"), (big, "a very large id has this text")]
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in H.op5_bit_sliced_simhash(spark, table(spark, tmp_path, rows)).collect()}
+    fp = lambda t: f"{plain_fingerprint(t, 4):016x}"
+    assert got == {(1, fp(texts[0])): 1, (5, fp(texts[0])): 1, (2, fp(texts[1])): 2, (5, fp(texts[1])): 2, (5, fp(rows[4][1])): 5, (big, fp(rows[5][1])): big}
+
+
+def test_a_hot_block_is_dealt_out_in_proportion(spark, monkeypatch):
+    """Fingerprints around one, and a few far from it, under one key: all links, and rows that grow with the nodes."""
+    rng = np.random.default_rng(2)
+
+    def nodes(n):
+        rows = np.full(n, 0x123456789ABCDEF0, np.uint64)
+        for _ in range(3):  # up to three bits of 32 from the centre
+            rows ^= np.uint64(1) << rng.integers(0, 32, n).astype(np.uint64)
+        rows = np.unique(rows)
+        return np.concatenate([rows, rng.integers(1 << 40, 1 << 63, 40, dtype=np.uint64)])
+
+    dealt: list[int] = []
+    real = H._link_blocks
+
+    def counted(blocks, *rest):
+        dealt.append(blocks.count())
+        return real(blocks, *rest)
+
+    monkeypatch.setattr(H, "_link_blocks", counted)
+    per_node = []
+    for n in (3000, 14000):
+        rows = nodes(n)
+        dealt.clear()
+        df = spark.createDataFrame([(int(k), bytearray(int(x).to_bytes(8, "big")), 7) for k, x in enumerate(rows)], "node long, fp binary, key long")
+        label = {r.u: r.v for r in components(H._link_keyed(df, 1, 4)).collect()}
+        per_node.append(sum(dealt) / len(rows))
+        root = list(range(len(rows)))
+
+        def find(x, root=root):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i in range(len(rows)):
+            for j in np.flatnonzero(np.bitwise_count(rows[i] ^ rows[:i]) <= 4).tolist():
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        assert {i: find(i) for i in range(len(rows)) if find(i) != i} == label
+    assert per_node[1] < 1.5 * per_node[0] and per_node[1] < 4
+
+
+def test_near_copies_of_one_text_in_a_hot_group(spark):
+    """Several thousand different copies of one text, more than a task takes at once: recall of 0.9 at a similarity of 0.8."""
+    r = random.Random(8)
+    base = ["b%d" % k for k in range(120)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 3000):
+        w = list(base)
+        for _ in range(r.randint(1, 2)):
+            w[r.randrange(len(w))] = "edit%d" % r.randrange(10**6)
+        rows.append((k, " ".join(w)))
+    rows += [(10_000 + k, " ".join("own%dx%d" % (k, i) for i in range(60))) for k in range(100)]
+    got = {x.doc_id for x in H.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(116)}
+    first = sets(rows[0][1])
+    near = [i for i, t in rows[1:3000] if len(first & sets(t)) / len(first | sets(t)) >= 0.8]
+    assert len(near) > 2000 and len(set(near) - got) >= 0.9 * len(near)
+    assert all(10_000 + k in got for k in range(100)) and 0 in got
+
+
+def test_tables_between_steps_are_deleted(spark, tmp_path):
+    from tessera.llm import common
+
+    texts = removal_texts(7)
+    df = spark.read.parquet(table(spark, tmp_path, list(enumerate(texts))) + "/documents.parquet")
+    import os
+
+    root = common.shared_folder(spark, "x").removeprefix("file://").rsplit("/", 1)[0]
+    before = set(os.listdir(root))
+    for f in (H.deduplicate, D.deduplicate, H.near_duplicates):
+        made = common.materialised(f(df), "result")
+        left = set(os.listdir(root)) - before
+        assert [x.split("-")[0] for x in left] == ["result"], (f, left)
+        common.discard(made)
+
+
+def test_no_local_folder_on_a_cluster():
+    from tessera.llm import common
+
+    class Conf:
+        def get(self, _):
+            return None
+
+    class Cluster:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Cluster()
+
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        common.shared_folder(Session(), "x")

@@ -197,3 +197,17 @@ def test_other_columns_keep_their_values_whatever_their_names(spark):
     assert r.text == "[SECRET] end" and list(r)[2:] == names
     (r,) = S.scan(df).collect()
     assert r["text"] == "token=Zx81kQ9wLm27Vb5Tn3Rj6Yh4 end" and list(r)[2:-1] == names[:-1] and len(r.spans) == 1
+
+
+def test_ledger_keeps_other_columns_whatever_their_names(spark):
+    names = ["row", "__t", "__w", "__lines", "__g", "__k", "__hit", "__row", "__packed", "__again"]
+    text = "a b c d e f g a b c d e"
+    df = spark.createDataFrame([(None, text, *names, 99)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names) + ", n_words long")
+    (r,) = Q.ledger(df).collect()
+    assert [r[n] for n in names] == names and (r.n_words, r.n_repeat_words) == (12, 10)
+    (r,) = Q.keep(spark.createDataFrame([(1, " ".join("word%d" % k for k in range(20)), *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))).collect()
+    assert list(r)[2:] == names
+
+
+def test_places_of_windows_have_room_for_any_array():
+    assert Q.PLACE_BITS >= 31

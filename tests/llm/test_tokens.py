@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -267,3 +268,59 @@ def test_empty_tables(spark, tmp_path):
     for f in (B.op1_bit_plane_tokens, T.op6_segment_tree_bpe, A.op7_token_attribution, P.op10_best_fit_packing):
         df = f(spark, d)
         assert df.count() == 0 and "doc_id" in df.columns
+
+
+def test_op1_rows_of_one_doc_id_have_one_order(spark, tmp_path, word):
+    rows = [(7, t) for t in texts(40, 9)] + [(None, "a b"), (None, None)] + [(k, "x") for k in range(20)]
+    d = table(spark, tmp_path / "a", rows)
+    e = table(spark, tmp_path / "b", rows[::-1])
+    files = lambda x: [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in B.op1_bit_plane_tokens(spark, x).collect()]
+    order = lambda x: sorted(x, key=lambda r: r[1])
+    assert order(files(d)) == order(files(e))
+
+
+def test_op7_edges_that_do_not_cover_the_text(spark, byte):
+    df = spark.createDataFrame(
+        [(1, "ab cd ef", [5, 2]), (2, "ab cd ef", []), (3, "ab\ncd", None), (4, "ab cd ef", [-3, 0, 2, 2, 8, 99, None]), (5, "", [1, 2]), (6, None, None), (None, "é漢x", [1])],
+        "doc_id long, text string, e array<long>",
+    )
+    got: dict = {}
+    for r in A.token_counts(df, BYTE, edges="e").collect():
+        got.setdefault(r.doc_id, []).append((r.section, r.start, r.end, r.n_tokens))
+    cuts = {k: [(s, e) for _, s, e, _ in sorted(v)] for k, v in got.items()}
+    assert cuts == {1: [(0, 2), (2, 5), (5, 8)], 2: [(0, 8)], 3: [(0, 3), (3, 5)], 4: [(0, 2), (2, 8)], 5: [(0, 0)], 6: [(0, 0)], None: [(0, 1), (1, 3)]}
+    for k, t in ((1, "ab cd ef"), (2, "ab cd ef"), (3, "ab\ncd"), (4, "ab cd ef"), (5, ""), (None, "é漢x")):
+        offsets = byte.encode(t, add_special_tokens=False).offsets
+        assert [n for *_, n in sorted(got[k])] == [sum(s <= o < e for o, _ in offsets) for s, e in cuts[k]]
+
+
+def test_op10_columns_of_its_own_names_are_replaced(spark):
+    df = spark.createDataFrame([(60, "a", 1.5), (5, "b", 2.5), (4, "c", 3.5)], "length long, sequence_id string, offset double").withColumn("__t", F.lit("x"))
+    got = P.pack(df, capacity=64)
+    assert got.columns == ["length", "__t", "sequence_id", "offset"] and sorted((r.length, r.offset, r["__t"]) for r in got.collect()) == [(4, 60, "x"), (5, 0, "x"), (60, 0, "x")]
+
+
+def test_the_cache_follows_a_setting(spark):
+    from tessera.llm import common
+
+    assert common.cached_chunks(spark) == common.CACHE_MB * 4096
+    spark.conf.set("spark.tessera.chunkCacheMb", "2")
+    try:
+        assert common.cached_chunks(spark) == 8192
+    finally:
+        spark.conf.unset("spark.tessera.chunkCacheMb")
+
+
+def test_batch_sizes_of_the_session_are_left_alone(spark):
+    from tessera.llm import common
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, own = spark.conf.get(name, None), getattr(spark, "_tessera_rows", None)
+    try:
+        spark.conf.set(name, "123")
+        spark._tessera_rows = None
+        common.tune(spark)
+        assert spark.conf.get(name) == "123"
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        spark._tessera_rows = own
