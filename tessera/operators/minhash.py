@@ -115,7 +115,12 @@ def to_vector(sig: Column) -> Column:
 
 
 def exact_pairs(sigs: DataFrame, key: str) -> DataFrame:
-    """(id_a, id_b, sim) of all ordered pairs, an item with itself too: n squared rows, for small collections.
+    """(id_a, id_b, sim) of all ordered pairs, an item with itself too: n squared rows, for small collections."""
+    return all_pairs(sigs, key).select("id_a", "id_b", similarity(F.col("sig_a"), F.col("sig_b")).alias("sim"))
+
+
+def all_pairs(sigs: DataFrame, key: str) -> DataFrame:
+    """(id_a, id_b, sig_a, sig_b) of all ordered pairs.
 
     Items are dealt into blocks; a pair of blocks is one group of an equality join, so the work spreads evenly.
     """
@@ -125,7 +130,7 @@ def exact_pairs(sigs: DataFrame, key: str) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     a = sigs.select(F.col(key).alias("id_a"), F.col("sig").alias("sig_a"), own.alias("i")).withColumn("j", every)
     b = sigs.select(F.col(key).alias("id_b"), F.col("sig").alias("sig_b"), own.alias("j")).withColumn("i", every)
-    return a.join(b, ["i", "j"]).select("id_a", "id_b", similarity(F.col("sig_a"), F.col("sig_b")).alias("sim"))
+    return a.join(b, ["i", "j"]).select("id_a", "id_b", "sig_a", "sig_b")
 
 
 def classes(sigs: DataFrame, key: str) -> DataFrame:
@@ -141,12 +146,16 @@ def membership(sigs: DataFrame, key: str) -> DataFrame:
 def lsh_pairs(sigs: DataFrame, key: str, n: int, length: int) -> DataFrame:
     """(id_a, id_b, sim), id_a < id_b: representatives of classes that share a band, each pair once.
 
-    A pair is emitted in its first common band, so nothing has to be made distinct afterwards.
+    A pair is emitted in its first common band, so nothing has to be made distinct afterwards. A band that many classes
+    share is dealt out: each class is in one part as the lower of a pair, and in all parts as the higher.
     """
     rows = classes(sigs, key).select("id", "sig", F.explode(bands(F.col("sig"), n, length)).alias("b"))
     rows = rows.select("id", "sig", F.col("b.band").alias("band"), F.col("b.keys").alias("keys"))
-    a, b = rows.withColumnsRenamed({"id": "id_a", "sig": "sig_a"}), rows.withColumnsRenamed({"id": "id_b", "sig": "sig_b"})
-    met = a.join(b, ["band", "keys"]).where("id_a < id_b")
+    shared = rows.groupBy("band", "keys").agg(F.count("*").alias("n")).where("n > 1").select("band", "keys", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    rows = rows.join(shared, ["band", "keys"])
+    a = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumnsRenamed({"id": "id_a", "sig": "sig_a"}).drop("parts")
+    b = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumnsRenamed({"id": "id_b", "sig": "sig_b"}).drop("parts")
+    met = a.join(b, ["band", "keys", "part"]).where("id_a < id_b")
     met = met.where(F.col("band") == first_band(F.col("sig_a"), F.col("sig_b"), n, length))
     return met.select("id_a", "id_b", similarity(F.col("sig_a"), F.col("sig_b")).alias("sim"))
 

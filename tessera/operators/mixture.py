@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import log_factorial, poisson_log_pmf, safe_log
+from ..functions.scalars import log_factorial, poisson_log_pmf
 
 
 @dataclass(frozen=True)
@@ -38,12 +38,14 @@ class Mixture(ABC):
 
     def e_step(self, hist: DataFrame, model: list[Component]) -> DataFrame:
         """Adds ``m``, the membership of each component, and ``ecll``, the expected log likelihood of a value."""
-        joint = F.array(*(F.exp(self.log_pmf(F.col("value"), c.rate)) * F.lit(c.weight) for c in model))
-        df = hist.withColumn("joint", joint)
+        logs = F.array(*(self.log_pmf(F.col("value"), c.rate).cast("double") + F.lit(math.log(c.weight) if c.weight > 0 else -math.inf) for c in model))
+        df = hist.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
+        # relative to the likeliest component, so that values far from all of them don't vanish
+        df = df.withColumn("joint", F.when(F.col("top") > -math.inf, F.transform("logs", lambda x: F.exp(x - F.col("top")))).otherwise(F.transform("logs", lambda x: F.lit(0.0))))
         total = F.aggregate("joint", F.lit(0.0), lambda s, x: s + x)
         df = df.withColumn("m", F.transform("joint", lambda x: F.try_divide(x, total)))
-        sums = F.aggregate(F.zip_with("m", "joint", lambda p, q: p * safe_log(q)), F.lit(0.0), lambda s, x: s + x)
-        return df.withColumn("ecll", sums).drop("joint")
+        sums = F.aggregate(F.zip_with("m", "logs", lambda p, q: F.when(p == 0, 0.0).otherwise(p * q)), F.lit(0.0), lambda s, x: s + x)
+        return df.withColumn("ecll", sums).drop("joint", "logs", "top")
 
     def m_step(self, memberships: DataFrame, k: int) -> list[Component]:
         """New components, from (value, cnt, m): means and shares weighted by membership."""

@@ -6,6 +6,7 @@ both sides, since the order of sums differs.
 
 from __future__ import annotations
 
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -280,8 +281,7 @@ def mh_buckets(spark, sf_dir):
 @query(f"""WITH {_sql_signatures('benchmark', 'item_id')} SELECT a.id AS id_a, b.id AS id_b, ({_FIRST})::INTEGER AS band FROM sigs a JOIN sigs b ON a.id < b.id""")
 def mh_first_bucket(spark, sf_dir):
     sigs = signatures(spark, sf_dir, "benchmark", "item_id")
-    a, b = sigs.select(F.col("item_id").alias("id_a"), F.col("sig").alias("a"), F.lit(1).alias("k")), sigs.select(F.col("item_id").alias("id_b"), F.col("sig").alias("b"), F.lit(1).alias("k"))
-    return a.join(b, "k").where("id_a < id_b").select("id_a", "id_b", minhash.first_band(F.col("a"), F.col("b"), BANDS, LENGTH).alias("band"))
+    return minhash.all_pairs(sigs, "item_id").where("id_a < id_b").select("id_a", "id_b", minhash.first_band(F.col("sig_a"), F.col("sig_b"), BANDS, LENGTH).alias("band"))
 
 
 @query(f"WITH {_sql_signatures('benchmark', 'item_id')} SELECT a.id AS id_a, b.id AS id_b, {_SAME} AS sim FROM sigs a, sigs b")
@@ -434,6 +434,23 @@ def mx_fit(spark, sf_dir):
     return _components(spark, mixture.PoissonMixture().fit(table(spark, sf_dir, "lineitem"), "l_quantity", 2, seed=7))
 
 
+def _fit_sql(most: int) -> str:
+    """The steps of a whole fit, and of them the first that the expected log likelihood falls at, or the last."""
+    ecll = f"SELECT sum(n * (x / (x + y) * ln(x) + y / (x + y) * ln(y))) AS e FROM (SELECT n, wa * {_PMF.format('a')} AS x, wb * {_PMF.format('b')} AS y FROM hist, p{{0}})"
+    steps = _em_sql(most).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+    all_of = " UNION ALL ".join(f"SELECT {k} AS k, a, b, wa, wb, ({ecll.format(k)}) AS e FROM p{k}" for k in range(most + 1))
+    return f"""{steps}, every AS MATERIALIZED ({all_of}), fell AS (SELECT k, e < lag(e) OVER (ORDER BY k) AS less FROM every),
+      got AS (SELECT * FROM every WHERE k = coalesce((SELECT min(k) FROM fell WHERE less AND k < {most}), {most}))
+      SELECT 0 AS component, round(a, 5) AS rate, round(wa, 6) AS weight FROM got UNION ALL SELECT 1, round(b, 5), round(wb, 6) FROM got"""
+
+
+@query(_fit_sql(11))
+def mx_fit_from_start(spark, sf_dir):
+    """A whole fit, with its stopping rule, from given components."""
+    found = mixture.PoissonMixture().fit(table(spark, sf_dir, "lineitem"), "l_quantity", 2, max_iterations=10, start=START)
+    return spark.createDataFrame([(j, round(c.rate, 5), round(c.weight, 6)) for j, c in enumerate(found)], "component int, rate double, weight double")
+
+
 # --- functions --------------------------------------------------------------------------------------
 
 
@@ -488,8 +505,19 @@ def io_parse_slash(spark, sf_dir):
 
 @query("SELECT doc_id, hex(encode(text)[101:120]) AS part, octet_length(encode(text)) AS n_bytes FROM documents")
 def io_read_range(spark, sf_dir):
-    raw = F.encode("text", "UTF-8")
-    return table(spark, sf_dir, "documents").select("doc_id", F.hex(F.substring(raw, 101, 20)).alias("part"), F.octet_length(raw).cast("long").alias("n_bytes"))
+    """Twenty bytes of each text by the byte access of this library, which gives fewer at the end."""
+
+    def read(batches):
+        import pyarrow as pa
+
+        from ..sources.locators import MemoryLocator
+
+        for b in batches:
+            found = [MemoryLocator(t.encode()).access() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a.read(100, 20).hex().upper() for a in found]), pa.array([a.length() for a in found], pa.int64())], ["doc_id", "part", "n_bytes"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.mapInArrow(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part string, n_bytes long")
 
 
 @query()
@@ -505,11 +533,11 @@ def io_ranged_source(spark, sf_dir):
         files = [path]
     else:
         files = _files(spark, path)
-        if not all(f.startswith("file:") and "," not in f for f in files):  # commas part the paths of byte_ranges
+        if not all(f.startswith("file:") for f in files):
             return _hadoop_ranges(spark, files, 65536)
         files = [f.removeprefix("file://").removeprefix("file:") for f in files]
     ranged.register(spark)
-    rows = spark.read.format("byte_ranges").option("path", ",".join(files)).option("range_bytes", 65536).load()
+    rows = spark.read.format("byte_ranges").option("paths", json.dumps(files)).option("range_bytes", 65536).load()
     return rows.select("offset", "length", F.crc32("data").alias("crc"))
 
 
@@ -553,7 +581,11 @@ def _scratch(spark: SparkSession) -> str:
     import tempfile
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return f"{root.rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -15,7 +17,8 @@ class Range(InputPartition):
 
 
 class ByteRanges(DataSource):
-    """Options: ``path`` (several joined by commas), ``range_bytes`` (of one partition, 8 MiB), ``retries``."""
+    """Options: ``path`` (several joined by commas) or ``paths`` (a JSON array, for paths that have commas), ``range_bytes`` (of
+    one partition, 8 MiB), ``retries``."""
 
     @classmethod
     def name(cls) -> str:
@@ -30,9 +33,9 @@ class ByteRanges(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        if not options.get("path"):
+        if not options.get("path") and not options.get("paths"):
             raise ValueError("byte_ranges wants a path")
-        self.paths = [p.strip() for p in options["path"].split(",")]
+        self.paths = json.loads(options["paths"]) if options.get("paths") else [p.strip() for p in options["path"].split(",")]
         self.size = int(options.get("range_bytes", 8 << 20))
         if self.size < 1:
             raise ValueError("range_bytes is one at least")
