@@ -513,10 +513,11 @@ def io_read_range(spark, sf_dir):
         from ..sources.locators import MemoryLocator
 
         for b in batches:
-            found = [MemoryLocator(t.encode()).access() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a.read(100, 20).hex().upper() for a in found]), pa.array([a.length() for a in found], pa.int64())], ["doc_id", "part", "n_bytes"])
+            found = [None if t is None else MemoryLocator(t.encode()).access() for t in b.column(1).to_pylist()]
+            parts, sizes = [a and a.read(100, 20).hex().upper() for a in found], [a and a.length() for a in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.string()), pa.array(sizes, pa.int64())], ["doc_id", "part", "n_bytes"])
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.mapInArrow(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part string, n_bytes long")
 
 

@@ -79,3 +79,16 @@ def test_dataset_signature(spark):
     assert all(x <= 0 for x in M.dataset_signature(df, F.col("h"), seeds, zero_init=True).first().sig)
     assert M.dataset_signature(df.limit(0), F.col("h"), seeds).first().sig == [M.INT_MAX] * 8
     assert M.dataset_signature(df, F.col("h"), seeds).select(M.to_vector(F.col("sig"))).first()[0].size == 8
+
+
+def test_a_band_that_many_classes_share_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 4)
+    rows = [(k, [1, 2, k % 7, k]) for k in range(60)] + [(100 + k, [9 + k, k, 3, 4]) for k in range(9)]
+    df = spark.createDataFrame(rows, "id long, sig array<int>")
+    got = sorted((x.id_a, x.id_b, x.sim) for x in M.lsh_pairs(df, "id", 2, 4).collect())
+    want = []
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and (a[:2] == b[:2] or a[2:] == b[2:]):
+                want.append((i, j, sum(x == y for x, y in zip(a, b)) / 4))
+    assert got == sorted(want)

@@ -136,3 +136,26 @@ def test_ranged_query_reads_folders_and_other_file_systems(spark, tmp_path):
     server.shutdown()
     with pytest.raises(Exception):
         query(spark, str(tmp_path / "none")).collect()
+
+
+def test_commands_can_be_registered_and_logged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "COMMANDS", dict(cli.COMMANDS))
+    cli.register(cli.Command("count", "Write the number of rows.", lambda s, a: s.read.parquet(a.input).groupBy().count().write.parquet(a.output), lambda c: c.add_argument("--twice", action="store_true")))
+    spark.range(7).write.parquet(str(tmp_path / "in"))
+    log = tmp_path / "log"
+    assert cli.main(["count", str(tmp_path / "in"), str(tmp_path / "out"), "--twice", "--log-file", str(log)], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).first()[0] == 7
+    assert cli.main(["count", "/none", str(tmp_path / "o"), "--log-file", str(log)], spark) == 1
+    text = log.read_text()
+    assert " INFO " in text and "count done" in text and " ERROR " in text and not cli.LOG.handlers
+
+
+def test_ranged_source_reads_paths_with_commas(spark, tmp_path):
+    import json
+
+    files = [tmp_path / "a,b", tmp_path / "c"]
+    for f in files:
+        f.write_bytes(DATA)
+    ranged.register(spark)
+    rows = spark.read.format("byte_ranges").option("paths", json.dumps([str(f) for f in files])).option("range_bytes", 1000).load().collect()
+    assert {r.path: b"".join(x.data for x in sorted(rows, key=lambda x: x.offset) if x.path == r.path) for r in rows} == {str(f): DATA for f in files}

@@ -71,3 +71,22 @@ def test_scalars(spark):
     assert S.sum_arrays(hot, "a").first().total == [1.0] * 20
     for v in (0, 1, 2, 10):
         assert abs(one(S.poisson_log_pmf(F.lit(v), 3.0)) - (v * math.log(3) - 3 - math.lgamma(v + 1))) < 1e-9
+
+
+def test_log_factorial_of_any_size(spark):
+    values = [0, 1, 2, 10, 63, 64, 65, 200, 10**6, 10**9, 10**15]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v long").withColumn("f", S.log_factorial(F.col("v")))
+    got = {r.v: r.f for r in df.collect()}
+    assert all(abs(got[v] - math.lgamma(v + 1)) <= 1e-12 * max(1, math.lgamma(v + 1)) for v in values) and got[None] is None
+
+
+def test_values_far_from_all_components_take_part(spark):
+    model = PoissonMixture()
+    hist = model.histogram(spark.createDataFrame([(3,), (5000,)], "v int"), "v")
+    (far,) = [r for r in model.e_step(hist, [Component(2.0, 0.5), Component(6.0, 0.5)]).collect() if r.value == 5000]
+    log = lambda x: 5000 * math.log(x) - x - math.lgamma(5001) + math.log(0.5)
+    assert far.m[1] > 1 - 1e-9 and abs(far.ecll - log(6.0)) < 1e-6 * abs(log(6.0))
+    got = model.m_step(model.e_step(hist, [Component(2.0, 0.5), Component(6.0, 0.5)]), 2)
+    assert got[1].rate > 2500
+    (none,) = [r for r in model.e_step(hist, [Component(0.0, 1.0)]).collect() if r.value == 3]
+    assert none.m == [None]  # not possible under the model
