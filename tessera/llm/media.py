@@ -8,8 +8,8 @@ with their reference, and a digest that many references share is a skewed join,
 execution splits.
 
 Defined cases: a null page or payload is empty; a reference without a stored payload keeps its place with
-a null payload; equal payloads are equal media; repeated rows stay repeated; empty tables give no rows;
-of the input only the named columns are used.
+a null payload; equal payloads are equal media; repeated rows stay repeated; very long texts are one payload each, held
+in memory a few at a time; empty tables give no rows; of the input only the named columns are used.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from . import common
 from .chunks import utf8
 
 WIDTH = 64
+#: Digests that a task remembers.
+SEEN = 1_000_000
 #: Rows in one Arrow batch; each row's payload is in memory a few times.
 MEDIA_ROWS = 500
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -174,9 +176,11 @@ def feature_of(payload: bytes) -> str:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, digest, stored, html): the text of each document as media, and a page that refers to it.
+    """(doc_id, n_bytes, digest, stored, html): the text of each document as media, and a page of text with three references:
+    a small one to it, one to what isn't stored, and a figure of it, whose caption has the size.
 
-    ``stored`` is null where the same task has stored the digest before.
+    ``stored`` is null where the same task has stored the digest before; beyond ``SEEN`` digests of a task, payloads are
+    stored again, which costs space alone.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -189,10 +193,13 @@ def store(docs: DataFrame) -> DataFrame:
                 payload = payload_of(text)
                 digest = hashlib.sha256(payload)
                 new = digest.digest() not in seen
-                if new and len(seen) < 1_000_000:
+                if new and len(seen) < SEEN:
                     seen.add(digest.digest())
                 name = digest.hexdigest()
-                html = f'<html><body><h1>Document {doc}</h1><figure><img src="media:{name}" alt="text"><figcaption>{escape(str(doc))}: {len(text)} bytes</figcaption></figure></body></html>'
+                html = (
+                    f'<html><body><h1>Document {doc}</h1><p>In small: <img src="media:{name}" alt="small"> beside <img src="logo.png" alt="logo">, then in full.</p>'
+                    f'<figure><img src="media:{name}" alt="text"><figcaption>{escape(str(doc))}: {len(text)} bytes</figcaption></figure><p>End of {doc}</p></body></html>'
+                )
                 out.append((doc, len(text), name, to_png(payload) if new else None, html))
             columns = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()))], ["doc_id", "n_bytes", "digest", "stored", "html"])
@@ -238,8 +245,11 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = common.materialised(store(common.documents(spark, sf_dir)), "media")
     found = common.materialised(features(kept), "features")
     joined = resolve(sequences(kept, "doc_id"), found, "doc_id")
-    n_bytes = F.regexp_extract("caption", r": ([0-9]+) bytes$", 1).cast("long")
-    return joined.select("doc_id", n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    size = r": ([0-9]+) bytes$"
+    joined = joined.where(F.col("caption").rlike(size))  # of a page's references the figure
+    n_bytes = F.regexp_extract("caption", size, 1).cast("long")
+    out = joined.select("doc_id", n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return common.reads(out, kept, found)
 
 
 QUERIES = {"op2_media_columns": op2_media_columns}

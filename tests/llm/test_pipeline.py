@@ -39,9 +39,9 @@ def test_stages_are_brute_force(spark):
     alike = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
     for i, r in kept.items():
         if i in left:  # nothing that stays has a copy before it that stays
-            assert left[i] == r and all(alike(i, j) < 0.9 for j in left if j < i)
+            assert left[i] == r and all(alike(i, j) < 0.8 for j in left if j < i)
         else:  # nothing goes without a like document
-            assert max(alike(i, j) for j in kept if j != i) > 0.5
+            assert max(alike(i, j) for j in kept if j != i) >= 0.8
 
     found = common.materialised(suffix(spark, out, SF), "t")
     assert found.columns == docs.columns
