@@ -379,22 +379,22 @@ def links(nodes: DataFrame, words: int, radius: int, minima: bool) -> DataFrame:
         keys = F.explode(F.array(*(F.xxhash64(F.lit(j), F.concat(*(parts[i] for i in of))) for j, of in enumerate(combinations(range(len(parts)), k)))))
     else:
         raise ValueError("segments are for fingerprints of one word")
-    return _link_keyed(nodes.select("fp", "node", keys.alias("key")), words, radius)
+    return _link_keyed(nodes.select("node", keys.alias("key")), nodes.select("fp", "node"), words, radius)
 
 
-def _link_keyed(rows: DataFrame, words: int, radius: int, size: int | None = None) -> DataFrame:
-    """Edges between rows (fp, node, key, and text with ``size``) of one key.
+def _link_keyed(rows: DataFrame, nodes: DataFrame, words: int, radius: int, size: int | None = None) -> DataFrame:
+    """Edges between the nodes (fp, node, and text with ``size``) of one key, by rows (node, key). Fingerprints and texts join
+    what is dealt out, so those alone under their keys never move.
 
     A key of more than ``TILE_ROWS`` nodes is dealt into parts, and about ``PIVOTS`` of its nodes go to each part. That
     links most nodes of a group of like ones, through those, to one set; nothing inside it needs comparing any more. What
     is left meets all parts, so no link is lost, and the rows that are dealt out grow with the nodes and those left over.
     """
     half = TILE_ROWS // 2
-    own = ["fp", "node", *(() if size is None else ("text",))]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def linked(dealt: DataFrame) -> DataFrame:
-        return _link_blocks(dealt.select("block", *own).repartition(n, "block").sortWithinPartitions("block", "node"), words, radius, size)
+        return _link_blocks(dealt.select("block", "node").join(nodes, "node").repartition(n, "block").sortWithinPartitions("block", "node"), words, radius, size)
 
     def part(salt: int, parts: str):
         return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(parts)).cast("int")
@@ -483,15 +483,15 @@ def deduplicate(docs: DataFrame, size: int = 5, words: int = WIDE_WORDS, radius:
     group the smallest doc_id stays, null last, and of equal ones the first row. Texts without words are one group,
     but those of a null doc_id, which have no text to lose and no name, all stay.
     """
-    whole = common.materialised(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "rows")
+    whole = common.materialised(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "rows", "zstd")
     found = common.materialised(_sets(whole.select("row", "doc.text"), size, words), "sets")
     nodes = common.materialised(found.groupBy("digest").agg(F.min("row").alias("node"), F.min_by("fp", "row").alias("fp"), F.min_by("keys", "row").alias("keys")), "nodes")
     close = components(links(nodes, words, radius, True))
     # candidates with the least node of their component, itself included
     near = close.union(close.select("v", "v").distinct()).toDF("node", "key")
     texts = nodes.select("node", "fp").join(near, "node").join(whole.select(F.col("row").alias("node"), "doc.text"), "node")
-    texts = common.materialised(common.reads(texts, close), "texts")
-    roots = components(_link_keyed(texts.select("fp", "node", "key", "text"), words, radius, size))
+    texts = common.materialised(common.reads(texts, close), "texts", "zstd")
+    roots = components(_link_keyed(texts.select("node", "key"), texts.select("fp", "node", "text"), words, radius, size))
     of = nodes.select("digest", "node").join(roots.toDF("node", "root"), "node", "left").select("digest", F.coalesce("root", "node").alias("group"))
     grouped = found.select("row", F.coalesce("digest", F.lit(b"")).alias("d")).join(of.select(F.coalesce("digest", F.lit(b"")).alias("d"), "group"), "d")
     ranked = grouped.join(whole.select("row", "doc.doc_id"), "row").select("group", "d", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row").alias("r"))

@@ -386,7 +386,7 @@ def test_a_hot_block_is_dealt_out_in_proportion(spark, monkeypatch):
         rows = nodes(n)
         dealt.clear()
         df = spark.createDataFrame([(int(k), bytearray(int(x).to_bytes(8, "big")), 7) for k, x in enumerate(rows)], "node long, fp binary, key long")
-        label = {r.u: r.v for r in components(H._link_keyed(df, 1, 4)).collect()}
+        label = {r.u: r.v for r in components(H._link_keyed(df.select("node", "key"), df.select("fp", "node"), 1, 4)).collect()}
         per_node.append(sum(dealt) / len(rows))
         root = list(range(len(rows)))
 
