@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-PERIOD = 64
+PERIOD = 32
 #: Suffixes of a bucket, about: suffixes of equal first bytes stay together.
 BUCKET = 1 << 17
 
@@ -52,6 +52,13 @@ def shifts(period: int, cover: tuple[int, ...]):
     return found
 
 
+def _heads(fresh):
+    """For each element the index of the last one before it, itself included, that is marked."""
+    import numpy as np
+
+    return np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
+
+
 class Block:
     """The text of some strings; ``starts`` has the position of each."""
 
@@ -85,15 +92,25 @@ class Block:
 
         p, ranks, reach = self.sample, np.zeros(self.n + 1, np.int64), self.period
         keys = self._first(p)
+        order = np.lexsort(keys)
+        p = p[order]
+        fresh = np.ones(len(p), bool)
+        fresh[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+        ranks[p] = _heads(fresh) + 1
         while True:
-            order = np.lexsort(keys)
-            fresh = np.ones(len(p), np.int64)
-            fresh[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
-            ranks[p[order]] = np.cumsum(fresh)
-            if fresh.all():
+            # equal ones go on: a suffix ranked by its first bytes is ranked by twice as many with the rank that far on
+            tied = ~fresh
+            tied[:-1] |= ~fresh[1:]
+            p = p[tied]
+            if not len(p):
                 return ranks
-            # what is ranked by its first bytes is ranked by twice as many with the ranks that far on
-            keys = [ranks[np.minimum(p + reach, self.n)], ranks[p]]
+            own, next_ = ranks[p], ranks[np.minimum(p + reach, self.n)]
+            order = np.lexsort([next_, own])
+            p, own, next_ = p[order], own[order], next_[order]
+            group, fresh = np.ones(len(p), bool), np.ones(len(p), bool)
+            group[1:] = own[1:] != own[:-1]
+            fresh[1:] = group[1:] | (next_[1:] != next_[:-1])
+            ranks[p] = own + _heads(fresh) - _heads(group)
             reach *= 2
 
     def _less(self, a, b):
