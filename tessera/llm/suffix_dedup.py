@@ -22,7 +22,7 @@ agree for 200 bytes. It is built here for the suffixes that can matter only, and
 
 Defined cases: null and empty texts have no strings; a text shorter than 200 bytes loses nothing; equal
 texts of 200 bytes or more lose everything; rows with equal or null doc_ids are documents of their own; texts
-of any length are read whole; an empty table gives no rows; other columns are kept by ``deduplicate``.
+of any length are read whole; an empty table gives no rows; other columns, whatever their names, are kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -280,29 +280,45 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return marked.groupBy("uid").agg(F.collect_list(F.struct("at", "mask")).alias("a")), [again, masks]
 
 
-def removed(n: int, found: list[dict]):
-    """Half-open runs of removed bytes of a text of n bytes."""
+def removed(n: int, at, masks: list):
+    """Half-open runs of removed bytes of a text of n bytes, from its anchors' places and masks."""
     import numpy as np
 
+    place, low, high = at >> 16, at >> 8 & 255, at & 255
+    whole = np.array([m is None for m in masks], bool)
+    begin, end = [(place - high)[whole]], [(place - low)[whole] + DEPTH]
+    if not whole.all():
+        bits = np.frombuffer(b"".join([m for m in masks if m is not None]), np.uint8).reshape(-1, REACH // 8 + 1)
+        of, d = np.nonzero(np.unpackbits(bits, axis=1, bitorder="little"))
+        place, low, high = place[~whole][of], low[~whole][of], high[~whole][of]
+        starts = (place - d)[(d >= low) & (d <= high)]
+        begin.append(starts)
+        end.append(starts + DEPTH)
     step = np.zeros(n + 1, np.int64)
-    for x in found:
-        place, low, high = x["at"] >> 16, x["at"] >> 8 & 255, x["at"] & 255
-        if x["mask"] is None:
-            starts = np.arange(place - high, place - low + 1)
-        else:
-            d = np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], np.uint8), bitorder="little"))
-            starts = place - d[(d >= low) & (d <= high)]
-        np.add.at(step, starts, 1)
-        np.add.at(step, starts + DEPTH, -1)
+    np.add.at(step, np.concatenate(begin), 1)
+    np.add.at(step, np.concatenate(end), -1)
     gone = np.concatenate([[0], (np.cumsum(step)[:-1] > 0).astype(np.int8), [0]])
     edge = np.flatnonzero(np.diff(gone))
     return edge.reshape(-1, 2)
 
 
+def _runs(texts: list, column) -> Iterator:
+    """For each text the runs that its anchors (a list column of at and mask; null for none) remove."""
+    import numpy as np
+
+    flat = column.flatten()
+    at, masks = flat.field("at").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("mask").to_pylist()
+    ends = np.cumsum(np.array(column.value_lengths().fill_null(0), np.int64)).tolist()
+    begin = 0
+    for text, end in zip(texts, ends):
+        yield removed(len(text), at[begin:end], masks[begin:end]).tolist() if end > begin else []
+        begin = end
+
+
 def _joined(docs: DataFrame) -> DataFrame:
     """The documents with their repeats in column ``a``."""
     common.tune(docs.sparkSession)
-    docs = common.materialised(docs.withColumn("uid", F.monotonically_increasing_id()), "numbered")
+    docs = common.materialised(docs.withColumn("uid", F.monotonically_increasing_id()), "numbered", "zstd")
     found, read = repeats(docs)
     found = common.materialised(found, "repeats")
     for old in read:
@@ -318,8 +334,8 @@ def op4_blockwise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         for b in batches:
             out = []
-            for doc, text, found in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist()):
-                runs = removed(len(text), found).tolist() if found else []
+            texts = utf8(b.column(1))
+            for doc, text, runs in zip(b.column(0).to_pylist(), texts, _runs(texts, b.column(2))):
                 at, digest = 0, hashlib.sha256()
                 for s, e in runs:
                     digest.update(text[at:s])
@@ -342,10 +358,11 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for b in batches:
             out = []
-            for t, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if t is not None and found:
-                    raw, at, kept = t.encode(), 0, []
-                    for s, e in removed(len(raw), found).tolist():
+            texts = utf8(b.column(0))
+            for t, raw, runs in zip(b.column(0).to_pylist(), texts, _runs(texts, b.column(1))):
+                if runs:
+                    at, kept = 0, []
+                    for s, e in runs:
                         kept.append(raw[at:s])
                         at = e
                     t = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
@@ -354,7 +371,8 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
 
     # the other columns travel as one, whatever their names
     others = [f"`{c}`" for c in docs.columns if c != text]
-    packed = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(*others, F.lit(0).alias("__")).alias("row"))
+    spare = "_" * (1 + max(map(len, docs.columns)))  # a struct has one field at least
+    packed = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(*others, F.lit(0).alias(spare)).alias("row"))
     joined = _joined(packed)
     found = joined.select("text", "a", "row").mapInArrow(run, packed.schema)
     return common.reads(found.select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns)), *joined._tessera_reads)
