@@ -49,6 +49,10 @@ SMOOTH = 50.0
 HELD_WORDS = 400_000
 
 
+#: A key and a count, packed.
+PAIR = __import__("numpy").dtype([("key", "<u2"), ("n", "<u4")])
+
+
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
@@ -209,6 +213,8 @@ def place_all(big, classes: int, owner, key, n, n_words: int, current=None):
     f = lambda x: np.where(x > 0.5, x * np.log(np.maximum(x, 1)), 0.0)
     k = len(big)
     # what each word brings: counts (words, classes) of what is before and after it
+    if not n_words:
+        return np.zeros(0, np.int64)
     both = np.bincount(owner * 2 * k + key, weights=n, minlength=2 * k * n_words).reshape(n_words, 2 * k)
     inn, out = both[:, :k], both[:, k:]
     t, w = np.arange(classes), np.arange(n_words)
@@ -262,8 +268,8 @@ def _flat(raws: list):
 
 
 def _contexts(encoded: DataFrame, k: int, n_seeds: int, n_classes: int, sent) -> DataFrame:
-    """(id, word, key, n): how often a class stands before (key < n_classes) or after each word that isn't a seed, and how
-    often the word itself stands before it (key = 2 * n_classes).
+    """(id, word, c, pairs): counts of words that aren't seeds, several rows for each, and packed pairs (key, n): how often a class
+    stands before (key < n_classes) or after it, and how often the word itself stands before it (key = 2 * n_classes).
 
     Words of the dictionary have their id and no word, all others -1 and the word.
     """
@@ -279,11 +285,19 @@ def _contexts(encoded: DataFrame, k: int, n_seeds: int, n_classes: int, sent) ->
             key, at = np.unique(np.concatenate(keys), return_inverse=True)
             return key, np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
 
-        def rows(id_, word, key, n):
-            return pa.RecordBatch.from_arrays([pa.array(id_, pa.int64()), word, pa.array(key, pa.int32()), pa.array(n, pa.int64())], ["id", "word", "key", "n"])
-
-        def known(key, n):
-            return rows(key // wide, pa.nulls(len(key), pa.binary()), key % wide, n)
+        def rows(key, n, words=None):
+            """``key``: a word's place times ``wide`` and the key, ascending."""
+            owner, key = key // wide, key % wide
+            packed = np.empty(len(key), PAIR)
+            packed["key"], packed["n"] = key, n
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(key) else np.zeros(0, np.int64)
+            edges = np.concatenate([first, [len(key)]]) * PAIR.itemsize
+            pairs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(packed)])
+            c = np.add.reduceat(np.where((key < n_classes) | (key == 2 * n_classes), n, 0), first) if len(first) else first
+            of = owner[first]
+            ids = of if words is None else np.full(len(of), -1)
+            word = pa.nulls(len(of), pa.binary()) if words is None else words.take(pa.array(of))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), word, pa.array(c, pa.int64()), pairs], ["id", "word", "c", "pairs"])
 
         keys, counts, held = [], [], 0
         for b in batches:
@@ -308,7 +322,7 @@ def _contexts(encoded: DataFrame, k: int, n_seeds: int, n_classes: int, sent) ->
             if held > 1_000_000:
                 key, times = summed(keys, counts)
                 if len(key) > HELD_WORDS:
-                    yield known(key, times)
+                    yield rows(key, times)
                     keys, counts, held = [], [], 0
                 else:
                     keys, counts, held = [key], [times], len(key)
@@ -319,36 +333,87 @@ def _contexts(encoded: DataFrame, k: int, n_seeds: int, n_classes: int, sent) ->
                 starts = np.concatenate([[0], np.cumsum(np.array(lists.value_lengths().fill_null(0)))])
                 key = (starts[text[on]] - 1 - ids[on]) * wide
                 u, times = np.unique(np.concatenate([key + before[on], key + after[on]]), return_counts=True)
-                yield rows(np.full(len(u), -1), words.take(pa.array(u // wide)), u % wide, times)
+                yield rows(u, times, words)
         if keys:
-            yield known(*summed(keys, counts))
+            yield rows(*summed(keys, counts))
 
-    return encoded.where("not held_out").select("ids", "rare").mapInArrow(run, "id long, word binary, key int, n long").groupBy("id", "word", "key").agg(F.sum("n").alias("n"))
+    return encoded.where("not held_out").select("ids", "rare").mapInArrow(run, "id long, word binary, c long, pairs binary")
 
 
-def _placed(contexts: DataFrame, classes: int, n_classes: int, sent, least: int = LEAST_COUNT) -> DataFrame:
+def _placed(contexts: DataFrame, classes: int, sent, least: int = LEAST_COUNT) -> DataFrame:
     """(id, word, c, class) of each word of ``contexts`` that has the least count. ``sent``: class bigrams, and the class that
-    each word of the dictionary is in (-1 for none)."""
+    each word of the dictionary is in (-1 for none). Rows of a word come one after another and are summed as they come, so
+    a word of any number of rows takes no more room than its keys."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         big, current = sent.value
-        for b in batches:
-            lists = b.column(3)
-            flat, sizes = lists.flatten(), np.array(lists.value_lengths(), np.int64)
-            key, n = flat.field("key").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(float)
-            id_ = b.column(0).to_numpy()
+        wide = 2 * len(big) + 1
+        open_: dict = {}  # the last word, which may go on
+
+        def words_of(part: list, last: bool):
+            table = pa.Table.from_batches(part).combine_chunks()
+            ids, words, c, pairs = (table.column(j).combine_chunks() for j in range(4))
+            id_ = ids.to_numpy()
+            new = np.ones(len(id_), bool)
+            other = pc.fill_null(pc.not_equal(words[1:], words[:-1]), False).to_numpy(zero_copy_only=False)
+            new[1:] = (id_[1:] != id_[:-1]) | other
+            if open_ and open_["id"] == id_[0] and open_["word"] == words[0].as_py():
+                new[0] = False
+            owner = np.cumsum(new) - new[0]
+            shift = 1 if open_ and new[0] else 0  # the open word is one of its own, before these
+            owner += shift
+            raw = pairs.to_pylist()
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // PAIR.itemsize
+            flat = np.frombuffer(b"".join(raw), PAIR)
+            at = np.repeat(owner, sizes) * wide + flat["key"]
+            n = flat["n"].astype(float)
+            total = np.bincount(owner, weights=c.to_numpy(), minlength=int(owner[-1]) + 1)
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            ids, words = ids.take(pa.array(first)), words.take(pa.array(first))
+            if open_:
+                at, n = np.concatenate([open_["key"], at]), np.concatenate([open_["n"], n])
+                total[0] += open_["c"]
+                if shift:
+                    ids, words = pa.concat_arrays([pa.array([open_["id"]], pa.int64()), ids]), pa.concat_arrays([pa.array([open_["word"]], pa.binary()), words])
+            at, place = np.unique(at, return_inverse=True)
+            n = np.bincount(place, weights=n, minlength=len(at))
+            owner, key = at // wide, at % wide
+            done = len(ids) if last else len(ids) - 1
+            open_.clear()
+            if not last:
+                mine = owner == done
+                open_.update(id=ids[done].as_py(), word=words[done].as_py(), c=total[done], key=key[mine], n=n[mine])
+            wanted = np.flatnonzero(total[:done] >= least)
+            slot = np.full(len(ids), -1)
+            slot[wanted] = np.arange(len(wanted))
+            take = (slot[owner] >= 0) & (key < 2 * len(big))
+            ids, words = ids.take(pa.array(wanted)), words.take(pa.array(wanted))
+            id_ = ids.to_numpy()
             of = np.where(id_ >= 0, current[np.maximum(id_, 0)], -1) if len(current) else np.full(len(id_), -1)
-            beside = key < 2 * len(big)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            found = place_all(big, classes, owner[beside], key[beside], n[beside], len(sizes), of)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.int32())], ["id", "word", "c", "class"])
+            found = place_all(big, classes, slot[owner[take]], key[take], n[take], len(wanted), of)
+            return pa.RecordBatch.from_arrays([ids, words, pa.array(total[wanted].astype(np.int64)), pa.array(found, pa.int32())], ["id", "word", "c", "class"])
 
-    c = F.sum(F.when((F.col("key") < n_classes) | (F.col("key") == 2 * n_classes), F.col("n")).otherwise(0)).alias("c")
-    whole = contexts.groupBy("id", "word").agg(c, F.collect_list(F.struct("key", "n")).alias("pairs")).where(F.col("c") >= least)
-    return whole.mapInArrow(run, "id long, word binary, c long, class int")
+        held: list = []
+        rows = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows >= PAIRS:
+                yield words_of(held, False)
+                held, rows = [], 0
+        if held:
+            yield words_of(held, True)
+        elif open_:
+            empty = pa.RecordBatch.from_arrays([pa.array([open_["id"]], pa.int64()), pa.array([open_["word"]], pa.binary()), pa.array([0], pa.int64()), pa.array([b""], pa.binary())], ["id", "word", "c", "pairs"])
+            yield words_of([empty], True)
+
+    n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return contexts.repartition(n, "id", "word").sortWithinPartitions("id", "word").mapInArrow(run, "id long, word binary, c long, class int")
 
 
 def _coded(encoded: DataFrame, classes_of) -> DataFrame:
@@ -446,7 +511,7 @@ def score(docs: DataFrame, frequent: int = FREQUENT, clustered: int = CLUSTERED,
     of, big = exchange(matrix, clustered, classes, [classes + j for j in range(len(bounds) + 2)], rounds)
     # all words of the least count that aren't seeds, each to the class of the greatest gain
     contexts = _contexts(encoded, k, clustered, len(big), spark.sparkContext.broadcast(of[symbol_of]))
-    placed = common.materialised(_placed(contexts, classes, len(big), spark.sparkContext.broadcast((big.astype(np.float64), np.zeros(0, np.int64)))), "placed")
+    placed = common.materialised(_placed(contexts, classes, spark.sparkContext.broadcast((big.astype(np.float64), np.zeros(0, np.int64)))), "placed")
     n_classes = classes + 2  # then rare words, the end
     class_of = np.concatenate([of[:clustered], np.full(k - clustered, classes), [classes, classes + 1]]).astype(np.int64)
     for r in placed.where("id >= 0").select("id", "class").collect():
@@ -456,7 +521,7 @@ def score(docs: DataFrame, frequent: int = FREQUENT, clustered: int = CLUSTERED,
         sent_classes = spark.sparkContext.broadcast(class_of)
         big = _class_bigrams(_coded(encoded, sent_classes), n_classes).astype(np.float64)
         contexts = _contexts(encoded, k, 0, n_classes, sent_classes)
-        before, placed = placed, common.materialised(_placed(contexts, classes, n_classes, spark.sparkContext.broadcast((big, class_of[:k]))), "placed")
+        before, placed = placed, common.materialised(_placed(contexts, classes, spark.sparkContext.broadcast((big, class_of[:k]))), "placed")
         common.discard(before)
         for r in placed.where("id >= 0").select("id", "class").collect():
             class_of[r["id"]] = r["class"]

@@ -186,3 +186,38 @@ def test_exchange_moves_words_of_any_rank_and_lowers_perplexity(spark, tmp_path)
         assert all(abs(x.perplexity - 10 ** (-x.score / x.n_tokens)) <= 1e-6 * x.perplexity for x in got)
         mean[n] = sum(x.score for x in got) / sum(x.n_tokens for x in got)
     assert mean[2] >= mean[0]
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 15])
+def test_rows_of_a_word_are_summed_wherever_batches_end(spark, monkeypatch, pairs):
+    monkeypatch.setattr(L, "PAIRS", pairs)
+    r = np.random.default_rng(3)
+    big = r.poisson(9, (6, 6)).astype(float)
+    rows, sums = [], collections.defaultdict(lambda: np.zeros(13))
+    for _ in range(400):
+        i = int(r.integers(-1, 12))
+        word = b"w%d" % r.integers(0, 9) if i < 0 else None
+        key = np.sort(r.choice(13, int(r.integers(1, 6)), False))
+        n = r.integers(1, 5, len(key))
+        sums[i, word][key] += n
+        packed = np.empty(len(key), L.PAIR)
+        packed["key"], packed["n"] = key, n
+        rows.append((i, word, int(n[(key < 6) | (key == 12)].sum()), bytearray(packed.tobytes())))
+
+    class Sent:
+        value = (big, np.arange(12) % 4)
+
+    df = spark.createDataFrame(rows, "id long, word binary, c long, pairs binary")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {(x.id, x.word and bytes(x.word)): (x.c, x["class"]) for x in L._placed(df, 4, Sent, 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for (i, word), s in sums.items():
+        c = int(s[:6].sum() + s[12])
+        if c >= 3:
+            key = np.flatnonzero(s[:12])
+            want[i, word] = (c, int(L.place_all(big, 4, np.zeros(len(key), np.int64), key, s[key], 1, np.array([i % 4 if i >= 0 else -1]))[0]))
+    assert got == want
